@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
-from .common import table
+from . import packing, simhash, warc
+from .common import table, work_path
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back, segments reassembled."""
+    path = work_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.page_digests(warc.read_archives(spark, path))
+
+
+OP1_SQL = """
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN octet_length(encode(h)) >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(h)) >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
+"""
 
 
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +39,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_simhash_groups": op2_simhash_groups,
         "op4_packing": op4_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc": OP1_SQL,
+    }
