@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, warc
+from . import chat, mixing, packing, simhash, warc
 from .common import table, work_path
 
 
@@ -37,15 +37,62 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted strings."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(own.unionByName(odd)))
+
+
+OP7_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+w AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM c),
+e AS (SELECT *, before IS NULL OR before <> role AS opens,
+      length(text) + (length(text) - length(replace(text, '\', ''))) + length(regexp_extract_all(text, '\[/?INST\]|</?s>|<sep>|<</?SYS>>|<</?ROLE>>')) AS chars FROM w)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars + CASE WHEN NOT opens THEN 5 WHEN role = 'user' THEN 22 WHEN role = 'system' THEN 22 WHEN role = 'assistant' THEN 7 ELSE 24 + length(role) END)::BIGINT AS formatted_chars,
+       count(*) FILTER (opens) AS n_blocks
+FROM e GROUP BY conv_id
+"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents replicated so that the sources have equal shares of as many rows as there are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return mixing.mix_sources(docs)
+
+
+OP9_SQL = f"""
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, (SELECT sum(n) FROM n)::DOUBLE / (SELECT count(*) FROM n)::DOUBLE / n AS mix_rate FROM n),
+m AS (SELECT source, mix_rate, greatest(1, ceil(mix_rate / {mixing.MAX_MEAN})::INT) AS draws FROM r),
+b AS (SELECT source, mix_rate, draws, 0 AS k, exp(-mix_rate / draws) AS p, exp(-mix_rate / draws) AS c FROM m
+      UNION ALL SELECT source, mix_rate, draws, k + 1, p * (mix_rate / draws) / (k + 1), c + p * (mix_rate / draws) / (k + 1) FROM b WHERE k < {mixing.MAX_COUNT - 1}),
+s AS (SELECT source, mix_rate, draws, list(c ORDER BY k) AS bounds FROM b GROUP BY ALL),
+d AS (SELECT doc_id, text, lang, n_chars, s.*, unnest(range(1, draws + 1)) AS i FROM documents JOIN s USING (source)),
+u AS (SELECT *, ('0x' || left(md5('{mixing.SEED}|' || doc_id || '|' || i), 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM d),
+t AS (SELECT doc_id, text, lang, source, n_chars, mix_rate, sum(len(list_filter(bounds, lambda x: x <= u))) AS copies FROM u GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, mix_rate, unnest(range(0, copies::BIGINT))::INT AS mix_copy FROM t
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_simhash_groups": op2_simhash_groups,
         "op4_packing": op4_packing,
+        "op7_chat": op7_chat,
+        "op9_mixing": op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
+        "op7_chat": OP7_SQL,
+        "op9_mixing": OP9_SQL,
     }
