@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, simhash, warc
+from . import ann, chat, mixing, packing, resharding, simhash, warc
 from .common import table, work_path
 
 
@@ -32,11 +32,24 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents moved from 32 shards to 40 of equal bytes, written, and read back."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    written = resharding.reshard(docs, work_path(spark, "shards"), old_shards=32, new_shards=40)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return written.select("doc_id", resharding.row_size().alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, first-fit decreasing into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each row whose vec_id is divisible by 50."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, read back from their formatted strings."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -84,7 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_simhash_groups": op2_simhash_groups,
+        "op3_resharding": op3_resharding,
         "op4_packing": op4_packing,
+        "op6_nearest": op6_nearest,
         "op7_chat": op7_chat,
         "op9_mixing": op9_mixing,
     }
