@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, packing, resharding, simhash, warc
+from . import ann, chat, mil_quality, mixing, packing, resharding, simhash, warc
 from .common import table, work_path
 
 
@@ -45,6 +45,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = mil_quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = mil_quality.score_documents(docs, model)
+    score = F.col("quality_score")
+    return scored.select("doc_id", mil_quality.held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of each row whose vec_id is divisible by 50."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -99,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_groups": op2_simhash_groups,
         "op3_resharding": op3_resharding,
         "op4_packing": op4_packing,
+        "op5_quality": op5_quality,
         "op6_nearest": op6_nearest,
         "op7_chat": op7_chat,
         "op9_mixing": op9_mixing,
