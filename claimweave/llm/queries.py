@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mil_quality, mixing, packing, resharding, simhash, warc
+from . import ann, chat, mil_quality, mixing, packing, perplexity, pii, resharding, simhash, warc
 from .common import table, work_path
 
 
@@ -82,6 +82,12 @@ FROM e GROUP BY conv_id
 """
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and perplexity bands of all documents."""
+    judged = perplexity.judge_documents(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower", "upper", "lang")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents replicated so that the sources have equal shares of as many rows as there are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
@@ -102,6 +108,12 @@ SELECT doc_id, text, lang, source, n_chars, mix_rate, unnest(range(0, copies::BI
 """
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates in place of personal data."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return pii.pseudonymise(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -111,7 +123,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_nearest": op6_nearest,
         "op7_chat": op7_chat,
+        "op8_rules": op8_rules,
         "op9_mixing": op9_mixing,
+        "op10_surrogates": op10_surrogates,
     }
 
 
