@@ -30,8 +30,8 @@ REVISIT_BYTES = 100
 CHUNK = 4096
 #: Bytes of a record's block beyond which it is segmented.
 SEGMENT = 32768
-#: Payload bytes aimed at in an archive file.
-ARCHIVE_BYTES = 16 << 20
+#: Records of an archive file at most; with segments this bounds its bytes.
+ARCHIVE_RECORDS = 2048
 
 _CRLF = "\r\n"
 _HTTP_HEAD = f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Transfer-Encoding: chunked{_CRLF}{_CRLF}"
@@ -110,11 +110,8 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
 
     Segments of one page may come to lie in different files.
     """
-    marked = mark_revisits(pages)
-    records = warc_records(marked, segment)
-    held = pages.agg(F.sum(F.octet_length("html")).alias("n")).first().n or 0
-    files = max(1, -(-held // ARCHIVE_BYTES))
-    records.repartition(files).write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    records = warc_records(mark_revisits(pages), segment)
+    records.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
