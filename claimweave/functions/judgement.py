@@ -49,7 +49,7 @@ def judgement(answer: Column) -> Column:
     raw = F.from_json(json_part(answer), JUDGMENT)
     yes = F.coalesce(_truth(raw["contradicts"]), F.coalesce(_truth(raw["is_contradiction"]), F.lit(False)) | F.coalesce(_truth(raw["contradiction"]), F.lit(False)))
     said = F.lower(F.trim(F.coalesce(raw["severity"], F.lit("none"))))
-    severity = F.when(~yes, "none").when(said.isin(SEVERITIES), said).otherwise("medium")
+    severity = F.when(~yes, "none").when(said.isin(SEVERITIES[1:]), said).otherwise("medium")
     reasoning = F.coalesce(F.nullif(raw["reasoning"], F.lit("")), raw["explanation"], F.lit(""))
     return F.struct(yes.alias("contradicts"), severity.alias("severity"), reasoning.alias("reasoning"))
 

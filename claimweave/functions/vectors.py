@@ -6,16 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; null where a length is zero."""
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    return let(pair, lambda p: dot(p["a"], p["b"]) / F.nullif(F.sqrt(dot(p["a"], p["a"])) * F.sqrt(dot(p["b"], p["b"])), F.lit(0.0)))
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A bag of hashed words: component i counts the words whose hash is i modulo ``dim``."""
     slots = F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
+    return let(slots, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("float")))

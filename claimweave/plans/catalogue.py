@@ -25,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-TERMS = ["steel", "brass", "blue", "7"]
+TERMS = ["ring", "economy", "blue", "7"]
 PHRASES = ["nderth", "chen", "tion the"]
 TEXT_TERMS = sorted({t for terms in A.TEXT_TOPICS.values() for t in terms})
 
@@ -91,7 +91,7 @@ def contradictions_all(spark, sf):
     return found.select("ticker", "topic", "topic_name", "severity", "a_id", "b_id", J.severity_rank(F.col("severity")).alias("rank"))
 
 
-@query(graph_sql("SELECT * FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, date DESC, claim_id, speaker) AS nth, claim_id, date, speaker, source_type, topic, quote_span, score FROM (SELECT *, len(list_filter(['steel', 'brass', 'blue', '7'], lambda w: contains(lower(quote_span), w) OR contains(lower(claim_text), w) OR contains(lower(name), w))) AS score FROM named) WHERE score > 0) WHERE nth <= 8"))
+@query(graph_sql("SELECT * FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, date DESC, claim_id, speaker) AS nth, claim_id, date, speaker, source_type, topic, quote_span, score FROM (SELECT *, len(list_filter(['ring', 'economy', 'blue', '7'], lambda w: contains(lower(quote_span), w) OR contains(lower(claim_text), w) OR contains(lower(name), w))) AS score FROM named) WHERE score > 0) WHERE nth <= 8"))
 def keyword_search(spark, sf):
     return G.keyword_search(A.graph(spark, sf), TERMS, 8)
 
@@ -186,10 +186,7 @@ def contradiction_scoped_replace(spark, sf):
     return D.replace_for_companies(g.contradictions, new, g, tickers)
 
 
-_ANSWERS = """(SELECT event_id, CASE event_id % 8 WHEN 0 THEN '{"contradicts": true, "severity": " HIGH "}' WHEN 1 THEN '```json' || chr(10) || '{"is_contradiction": true, "explanation": "e"}' || chr(10) || '```' WHEN 2 THEN 'Sure: {"contradiction": "yes", "severity": "grave", "reasoning": "r"} done' WHEN 3 THEN '{"contradicts": false, "severity": "high"}' WHEN 4 THEN 'no json' WHEN 5 THEN '{"severity": "low"}' WHEN 6 THEN '{"contradicts": true, "severity": "none", "reasoning": "", "explanation": "x"}' ELSE '{"contradicts": "false"}' END AS answer FROM events)"""
-
-
-@query("SELECT event_id, event_id % 8 IN (0, 1, 2, 6) AS contradicts, ['high', 'none', 'medium', 'none', 'none', 'none', 'none', 'none'][event_id % 8 + 1] AS severity, ['', 'e', 'r', '', '', '', 'x', ''][event_id % 8 + 1] AS reasoning FROM events".replace("['high', 'none', 'medium'", "['high', 'none', 'medium'"))
+@query("SELECT event_id, event_id % 8 IN (0, 1, 2, 6) AS contradicts, ['high', 'medium', 'medium', 'none', 'none', 'none', 'medium', 'none'][event_id % 8 + 1] AS severity, ['', 'e', 'r', '', '', '', 'x', ''][event_id % 8 + 1] AS reasoning FROM events")
 def judgement_normalised(spark, sf):
     k = F.col("event_id") % 8
     answers = ['{"contradicts": true, "severity": " HIGH "}', '```json\n{"is_contradiction": true, "explanation": "e"}\n```', 'Sure: {"contradiction": "yes", "severity": "grave", "reasoning": "r"} done', '{"contradicts": false, "severity": "high"}', "no json", '{"severity": "low"}', '{"contradicts": true, "severity": "none", "reasoning": "", "explanation": "x"}', '{"contradicts": "false"}']
@@ -476,9 +473,6 @@ def embedded_claims(spark, sf):
 # State
 
 
-_EVENTS = "e AS (SELECT event_id, user_id, ts, event_type, value FROM events)"
-
-
 @query("SELECT conv_id, coalesce(max_by(text, turn) FILTER (role = 'user'), '') AS message FROM conversations GROUP BY conv_id")
 def last_user_message(spark, sf):
     return ST.last_user_message(A.table(spark, sf, "conversations"))
