@@ -253,7 +253,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5, p: float = P) -> DataFr
     leaves = min(MAX_LEAVES, max(1, n // BLOCK))
     every = max(1, n // SAMPLE)
     sample = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * SAMPLE)  # only where to cut hangs on it
-    sampled = np.array([r.embedding for r in sample.select("embedding").collect()], dtype=np.float64).reshape(-1, dim)
+    sampled = _matrix(sample.select("embedding").toArrow().column("embedding").combine_chunks(), dim)
     cuts = fit_cuts(_unit(sampled) @ directions(dim) if len(sampled) else np.zeros((0, M)), leaves)
     placed = vectors.mapInArrow(_block_batches(dim, cuts), "vec_id long, embedding array<double>, leaf long, point array<double>")
     placed = work_table(placed, "placed")

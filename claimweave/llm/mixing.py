@@ -52,9 +52,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     else:
         known = [x for name, w in weights.items() for x in (F.lit(name), F.lit(float(w)))]
         weighed = counts.withColumn("weight", F.coalesce(F.get(F.transform(F.array(F.create_map(*known)), lambda m: m[F.coalesce("source", F.lit(""))]), 0), F.lit(0.0)))
-    sums = weighed.filter("weight > 0").agg(F.sum("weight").alias("all_weight")).crossJoin(counts.agg(F.sum("n").alias("all_rows")))
-    aim = F.lit(float(total)) if total is not None else F.col("all_rows").cast("double")
-    rated = weighed.crossJoin(F.broadcast(sums)).withColumn("rate", F.coalesce(F.col("weight") * aim / F.col("all_weight") / F.col("n"), F.lit(0.0)))
+    all_ = weighed.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weight")).first()  # one row
+    aim = float(total) if total is not None else float(all_["rows"] or 0)
+    rated = weighed.withColumn("rate", F.col("weight") * F.lit(aim) / F.lit(float(all_["weight"] or 1)) / F.col("n"))
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN).cast("int"))
     return rated.withColumn("draws", draws).select("source", "n", "rate", "draws", poisson_bounds(F.col("rate") / F.col("draws")).alias("bounds"))
 
