@@ -59,6 +59,15 @@ def edge_counts(g: Graph) -> DataFrame:
     return _union_counts(edges, "rel")
 
 
+def totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of each table."""
+    counts = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in tables))
+
+
 def _union_counts(tables: dict[str, DataFrame], name: str) -> DataFrame:
     out = None
     for label, df in tables.items():

@@ -132,8 +132,7 @@ def claims_in_contradictions(spark, sf):
 @query(graph_sql("SELECT sum(companies)::BIGINT AS companies, sum(documents)::BIGINT AS documents, sum(claims)::BIGINT AS claims, sum(edges)::BIGINT AS contradictions FROM (SELECT (SELECT count(*) FROM customer) AS companies, (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM claims) AS claims, (SELECT count(*) FROM edges) AS edges)"))
 def run_summary(spark, sf):
     g = A.graph(spark, sf)
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return one(g.companies, "companies").crossJoin(one(g.documents, "documents")).crossJoin(one(g.claims, "claims")).crossJoin(one(g.contradictions, "contradictions"))
+    return G.totals({"companies": g.companies, "documents": g.documents, "claims": g.claims, "contradictions": g.contradictions})
 
 
 @query(graph_sql("SELECT ticker, topic, '- ' || topic || ' (' || any_value(name) || '): ' || any_value(claims) || ' claims' || CASE WHEN any_value(synthetic) > 0 THEN ', ' || any_value(synthetic) || ' synthetic' ELSE '' END || chr(10) || string_agg('  [' || claim_id || '] ' || date || ' — ' || speaker || ', ' || doc_type || ' [' || CASE WHEN source_type = 'synthetic' THEN 'SYNTHETIC DEMO DATA' ELSE 'real filing' END || ']: \"' || quote_span || '\"', chr(10) ORDER BY nth) AS context FROM (SELECT s.*, c.name, c.claims, c.synthetic, row_number() OVER (PARTITION BY s.ticker, s.topic ORDER BY s.date, s.claim_id, s.speaker) AS nth FROM spoken s JOIN topic_counts c ON s.ticker = c.ticker AND s.topic = c.topic) WHERE nth <= 4 GROUP BY ticker, topic").replace('\\"', '"'))
