@@ -43,11 +43,11 @@ _NAME = rf"{_UP}{_LOW}+(?:-{_UP}{_LOW}+)?"
 
 #: Found from left to right; of entities that begin at one place the first kind wins.
 _PATTERN = re.compile(
-    r"""(?P<email>(?<![\w.+%-])[A-Za-z0-9_][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))"""
+    r"""(?P<email>(?<![\w.+%-])\w[\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))"""
     r"""|(?P<secret>(?<![A-Za-z0-9_])(?:(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?)(?P<value>[A-Za-z0-9_\-+/]{12,}={0,2})|(?<![A-Za-z0-9])(?=[0-9a-fA-F]*\d)(?P<hex>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?P<aws>AKIA[0-9A-Z]{16})(?![A-Za-z0-9]))"""
     r"""|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"""
     r"""|(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"""
-    r"""|(?P<card>(?<![\d.])\d(?:[\x20-]?\d){12,18}(?!\d))"""
+    r"""|(?P<card>(?<!\d)(?<!\d\.)\d(?:[\x20-]?\d){12,18}(?!\d))"""
     r"""|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"""
     r"""|(?P<phone>(?<![\w+])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d(?:[\x20.-]?\d){5,11}|\(\d{3}\)[\x20]?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d))"""
 )
