@@ -91,7 +91,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents replicated so that the sources have equal shares of as many rows as there are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    return mixing.mix_sources(docs)
+    return mixing.mix_sources(docs).drop("mix_order")  # the rows keep that order
 
 
 OP9_SQL = f"""
