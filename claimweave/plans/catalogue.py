@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,14 +31,23 @@ PHRASES = ["nderth", "chen", "tion the"]
 TEXT_TERMS = sorted({t for terms in A.TEXT_TOPICS.values() for t in terms})
 
 
+#: Row numbers, which are ints in Spark and 64-bit in DuckDB.
+_RANKS = ("nth", "place", "rank")
+
+
 def query(sql: str | None = None):
-    """Register a query under its function's name."""
+    """Register a query under its function's name; its row numbers become longs."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            found = f(spark, sf_dir)
+            return found.withColumns({c: F.col(c).cast("long") for c in _RANKS if c in found.columns})
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
-        return f
+        return run
 
     return register
 
@@ -85,7 +95,7 @@ def contradictions_from_medium(spark, sf):
     return G.contradictions(A.graph(spark, sf), J.severities_at_least("medium"))
 
 
-@query(graph_sql("SELECT ticker, topic, topic_name, severity, a_id, b_id, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS rank FROM contra"))
+@query(graph_sql("SELECT ticker, topic, topic_name, severity, a_id, b_id, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END::BIGINT AS rank FROM contra"))
 def contradictions_all(spark, sf):
     found = G.contradictions(A.graph(spark, sf), J.severities_at_least("bogus"))
     return found.select("ticker", "topic", "topic_name", "severity", "a_id", "b_id", J.severity_rank(F.col("severity")).alias("rank"))
