@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import judgement as J
+from claimweave.functions import render as R
 from claimweave.functions import text as T
 from claimweave.functions.vectors import cosine, hash_embedding
 from claimweave.operators import chunks as C
@@ -417,7 +418,7 @@ def company_search(spark, sf):
     return S.company_search(_universe(spark, sf), asked, _processed(spark, sf))
 
 
-@query(f"WITH {_UNIVERSE}, asked AS (SELECT * FROM (VALUES (0, 't7'), (1, 'T2'), (2, 'zz'), (3, 'T10')) v(place, t)) SELECT place, u.ticker, name, cik, u.ticker IN (SELECT ticker FROM done) AS processed FROM asked JOIN universe u ON u.ticker = upper(t)")
+@query(f"WITH {_UNIVERSE}, asked AS (SELECT * FROM (VALUES (0::BIGINT, 't7'), (1, 'T2'), (2, 'zz'), (3, 'T10')) v(place, t)) SELECT place, u.ticker, name, cik, u.ticker IN (SELECT ticker FROM done) AS processed FROM asked JOIN universe u ON u.ticker = upper(t)")
 def resolved_tickers(spark, sf):
     asked = spark.createDataFrame([(0, "t7"), (1, "T2"), (2, "zz"), (3, "T10")], "pos int, ticker string")
     return S.resolve_tickers(_universe(spark, sf), asked, _processed(spark, sf))
@@ -561,3 +562,82 @@ def events_sliding(spark, sf):
 @query("SELECT min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, user_id, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events)) GROUP BY user_id, s")
 def events_by_session(spark, sf):
     return _ntz(W.by_session(W.event_time(A.table(spark, sf, "events")), "6 hours", "user_id"))
+
+
+# Texts for models
+
+
+_TAG = "CASE WHEN {} = 'synthetic' THEN 'SYNTHETIC DEMO DATA' ELSE 'real filing' END"
+
+
+@query(graph_sql("SELECT ticker, string_agg('- ' || topic || ' (' || name || '): ' || claims || ' claims' || CASE WHEN synthetic > 0 THEN ', ' || synthetic || ' synthetic' ELSE '' END, chr(10) ORDER BY claims DESC, topic) AS text FROM topic_counts GROUP BY ticker"))
+def topic_texts(spark, sf):
+    return R.as_text(G.topic_counts(A.graph(spark, sf)), R.topic_line(), ["ticker"], [-F.col("claims"), F.col("topic")])
+
+
+@query(graph_sql("SELECT ticker, string_agg('- ' || speaker || ' (' || role || '): ' || claims || ' claims', chr(10) ORDER BY claims DESC, speaker, role) AS text FROM (SELECT ticker, speaker, role, count(*) AS claims FROM spoken GROUP BY ALL) GROUP BY ticker"))
+def speaker_texts(spark, sf):
+    return R.as_text(G.speaker_counts(A.graph(spark, sf)), R.speaker_line(), ["ticker"], [-F.col("claims"), F.col("speaker"), F.col("role")])
+
+
+@query(graph_sql("SELECT ticker, topic, string_agg('[' || claim_id || '] ' || date || ' \u2014 ' || speaker || ' (' || role || '), ' || doc_type || ' [' || " + _TAG.format("source_type") + " || ']: \"' || quote_span || '\" (stance: ' || stance || ')', chr(10) ORDER BY date, claim_id, speaker) AS text FROM spoken GROUP BY ticker, topic"))
+def timeline_texts(spark, sf):
+    return R.as_text(G.claim_timeline(A.graph(spark, sf)), R.timeline_line(), ["ticker", "topic"], [F.col("date"), F.col("claim_id"), F.col("speaker")])
+
+
+def _side_sql(s):
+    return f"'  {s.upper()} [' || {s}_id || '] (' || {s}_date || ', ' || {s}_speaker || ', ' || " + _TAG.format(f"{s}_source") + f" || '): \"' || {s}_quote || '\"'"
+
+
+@query(graph_sql("SELECT ticker, a_id, b_id, topic_name || ' \u2014 severity ' || severity || ': ' || reasoning || chr(10) || " + _side_sql("a") + " || chr(10) || " + _side_sql("b") + " AS text FROM contra"))
+def contradiction_texts(spark, sf):
+    return G.contradictions(A.graph(spark, sf), J.severities_at_least("low")).select("ticker", "a_id", "b_id", R.contradiction_text().alias("text"))
+
+
+def _statement_sql(s):
+    return f"'STATEMENT {s.upper()} [' || {s}_source || ' ' || {s}_doctype || ' ' || {s}_date || ', reporting period: ' || {s}_period || ', speaker: ' || {s}_speaker || ']:' || chr(10) || '\"' || {s}_quote || '\"'"
+
+
+@query(graph_sql("SELECT a_id, b_id, 'TOPIC: ' || topic || chr(10) || chr(10) || " + _statement_sql("a") + " || chr(10) || chr(10) || " + _statement_sql("b") + " || chr(10) || chr(10) || 'Can both statements be true? A call and a report of one fiscal year speak of the same year.' AS prompt FROM pairs"))
+def judge_prompts(spark, sf):
+    return D.candidate_pairs(A.graph(spark, sf)).select("a_id", "b_id", R.judge_prompt().alias("prompt"))
+
+
+@query(text_sql("SELECT chunk_id, 'DOCUMENT: ' || ticker || ' ' || doc_type || ' ' || date || chr(10) || CASE WHEN ordinal % 2 = 0 THEN 'SPEAKER: ' || heading || chr(10) ELSE '' END || chr(10) || 'Quote verbatim from the text between the fences.' || chr(10) || '<<<' || chr(10) || text || chr(10) || '>>>' AS prompt FROM chunks JOIN tdocs USING (document_id) WHERE heading <> ''"))
+def extraction_prompts(spark, sf):
+    docs = A.text_documents(spark, sf).select("document_id", "ticker", "doc_type", "date")
+    chunks = C.segment(A.text_blocks(spark, sf)).filter("heading <> ''").withColumn("speaker", F.when(F.col("ordinal") % 2 == 0, F.col("heading")))
+    return chunks.join(docs, "document_id").select("chunk_id", R.extraction_prompt().alias("prompt"))
+
+
+@query(f"WITH {_CITED} SELECT conv_id, turn, a || '=1,' || b || '=2' AS labels FROM cited WHERE full_draft")
+def citation_labels(spark, sf):
+    d = _drafts(spark, sf).withColumn("labels", R.citation_labels(T.citations(F.col("draft")))).filter("size(labels) > 0")
+    return d.select("conv_id", "turn", F.array_join(F.transform("labels", lambda x: F.concat(x["id"], F.lit("="), x["label"].cast("string"))), ",").alias("labels"))
+
+
+@query("SELECT event_id, event_id % 3 <> 1 AS passes, 'Why ' || event_id || '?|What?' AS questions FROM events")
+def guarded_followups(spark, sf):
+    e = A.table(spark, sf, "events").select("event_id")
+    said = F.element_at(F.array(F.lit("safe"), F.lit(" UNSAFE: advice"), F.lit("")), (F.col("event_id") % 3 + 1).cast("int"))
+    answer = F.concat(F.lit(' - "Why '), F.col("event_id").cast("string"), F.lit("?\"\n\n* a\n"), F.lit("x" * 121), F.lit("\n'What?'\nlast one"))
+    return e.select("event_id", R.passes_safety(said).alias("passes"), F.array_join(R.question_lines(answer, 2), "|").alias("questions"))
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY role) AS speakers FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY conv_id")
+def document_speakers(spark, sf):
+    return A.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("speakers"))
+
+
+@query("SELECT chunk_id, topic, quote_span, claim_text, place FROM (SELECT user_id AS chunk_id, event_type AS topic, event_id % 5 AS quote_span, value AS claim_text, min(event_id) OVER w AS place, row_number() OVER (PARTITION BY user_id, event_type, event_id % 5 ORDER BY event_id DESC) AS nth FROM events WINDOW w AS (PARTITION BY user_id, event_type, event_id % 5)) WHERE nth = 1")
+def deduplicated_claims(spark, sf):
+    e = A.table(spark, sf, "events").select(F.col("user_id").alias("chunk_id"), F.col("event_type").alias("topic"), (F.col("event_id") % 5).alias("quote_span"), F.col("value").alias("claim_text"), F.col("event_id").alias("seq"))
+    return C.last_of_each(e).select("chunk_id", "topic", "quote_span", "claim_text", "place")
+
+
+@query(graph_sql("SELECT topic, round(cos(2 * pi() * i / n), 9) + 0.0 AS x, round(sin(2 * pi() * i / n), 9) + 0.0 AS y FROM (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS i, count(*) OVER () AS n FROM topics)"))
+def topic_layout(spark, sf):
+    g = A.graph(spark, sf)
+    order = Window.orderBy("id")  # topics are a curated list, far below a partition's size
+    place = g.topics.select(F.col("id").alias("topic"), (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    return place.select("topic", R.circle_layout(F.col("i"), F.col("n")).alias("p")).select("topic", (F.round("p.x", 9) + 0.0).alias("x"), (F.round("p.y", 9) + 0.0).alias("y"))
