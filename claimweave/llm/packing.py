@@ -55,7 +55,7 @@ def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
     return np.array([*_encoding(path or vocabulary_file()).encode_ordinary(text or ""), END_ID], dtype="<u4")
 
 
-def _piece_batches(path: str, length: int, keep_ids: bool):
+def _piece_batches(path: str | None, length: int, keep_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
         for batch in batches:
@@ -76,11 +76,12 @@ def _piece_batches(path: str, length: int, keep_ids: bool):
 def token_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
     """Each document's tokens in pieces of ``length``, the last one shorter, with CRC-32 of the ids.
 
+    ``path`` names the file of ranks (by default each executor's own copy of the public one).
     ``row_key`` tells rows apart that repeat a doc_id. With ``keep_ids`` the ids themselves come too.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), text_or_empty().alias("text"))
     schema = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if keep_ids else "")
-    return named.mapInArrow(_piece_batches(path or vocabulary_file(), length, keep_ids), schema)
+    return named.mapInArrow(_piece_batches(path, length, keep_ids), schema)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
