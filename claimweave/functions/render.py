@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from claimweave.functions.text import source_tag, strip
 
 
+# The formats of the lines below are fixed values: readers and models know them.
+
+
 def or_na(text: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("n/a"))
 

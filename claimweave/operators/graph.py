@@ -15,6 +15,10 @@ from claimweave.functions import text as T
 from claimweave.functions.judgement import severity_order, severity_rank
 
 
+# The wording of suggested questions.
+ON_CONTRADICTION, ON_TOPIC = "What contradiction did you find about ", "What has the company said about "
+
+
 @dataclass
 class Graph:
     """Node and edge tables (see ``claimweave.schemas``)."""
@@ -215,8 +219,8 @@ def suggested_questions(g: Graph, n: int = 5) -> DataFrame:
     """Questions a reader may ask of each company: on two contradictions, then on the largest topics."""
     found = contradictions(g, ["medium", "high"])
     first = Window.partitionBy("ticker").orderBy(severity_rank(F.col("severity")), "topic", "a_id", "b_id")
-    asked = found.withColumn("nth", F.row_number().over(first)).filter("nth <= 2").select("ticker", F.lit(0).alias("part"), "nth", F.concat(F.lit("What contradiction did you find about "), F.lower("topic_name"), F.lit("?")).alias("question"))
+    asked = found.withColumn("nth", F.row_number().over(first)).filter("nth <= 2").select("ticker", F.lit(0).alias("part"), "nth", F.concat(F.lit(ON_CONTRADICTION), F.lower("topic_name"), F.lit("?")).alias("question"))
     by_size = Window.partitionBy("ticker").orderBy(F.desc("claims"), "topic")
-    topics = topic_counts(g).withColumn("nth", F.row_number().over(by_size)).filter(F.col("nth") <= n).select("ticker", F.lit(1).alias("part"), "nth", F.concat(F.lit("What has the company said about "), F.lower("name"), F.lit("?")).alias("question"))
+    topics = topic_counts(g).withColumn("nth", F.row_number().over(by_size)).filter(F.col("nth") <= n).select("ticker", F.lit(1).alias("part"), "nth", F.concat(F.lit(ON_TOPIC), F.lower("name"), F.lit("?")).alias("question"))
     order = Window.partitionBy("ticker").orderBy("part", "nth")
     return asked.unionByName(topics).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).select("ticker", "place", "question")

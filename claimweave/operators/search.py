@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from claimweave.functions.vectors import cosine
 
 
+#: Stated queries that are broadcast at most.
+BROADCAST_QUERIES = 10_000
+
+
 def vector_topk(points: DataFrame, queries: DataFrame, k: int = 10, key: str = "claim_id") -> DataFrame:
     """The ``k`` points nearest to each query ``(query_id, q_vector[, ticker])`` by cosine.
 
     With a ``ticker`` in both tables only points of the query's company count, by an equi-join.
-    Without one each of the stated queries is held against all points; the query side, as the
-    smaller one, is what Spark replicates. Ties go to the smaller key.
+    Without one each of the stated queries is held against all points: they are broadcast while they
+    are at most BROADCAST_QUERIES, and else Spark pairs blocks of both sides. Ties go to the smaller key.
     """
     if "ticker" in queries.columns:
         pairs = points.join(queries, "ticker")
     else:
-        pairs = points.crossJoin(queries)
+        few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+        pairs = points.crossJoin(F.broadcast(queries) if few else queries)
     scored = pairs.withColumn("score", cosine(F.col("vector"), F.col("q_vector"))).filter("score IS NOT NULL")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.drop("q_vector", "vector").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
