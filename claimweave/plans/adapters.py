@@ -35,6 +35,23 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PLACED: dict[tuple[str, str], DataFrame] = {}
+
+
+def placed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims, dealt by claim_id and kept: joins of claims, edges and topics on it don't shuffle again.
+
+    Stored tables would be bucketed so; here the derived table is persisted (memory, then disk).
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PLACED:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _PLACED[key] = claims(spark, sf_dir).repartition(parts, "claim_id")
+    if not _PLACED[key].storageLevel.useMemory:
+        _PLACED[key].persist()
+    return _PLACED[key]
+
+
 def contradiction_edges(claims_: DataFrame, filed_by: DataFrame) -> DataFrame:
     """Edges between neighbouring claims of a company and topic by (date, id) whose stances differ."""
     from pyspark.sql import Window
@@ -54,7 +71,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     period = F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string"), F.lit(" FY"), F.year("o_orderdate").cast("string"))
     docs = orders.select(F.col("o_orderkey").cast("string").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-Q").alias("doc_type"), day.alias("date"), period.alias("period"), F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("source_url"), F.when(F.col("o_orderpriority").startswith("1"), "synthetic").otherwise("real").alias("source_type"), F.lit("").alias("raw_ref"), ticker)
-    c = claims(spark, sf_dir)
+    c = placed_claims(spark, sf_dir)
     filed_by = orders.select(F.col("o_orderkey").cast("string").alias("document_id"), ticker)
     return Graph(
         companies=customer.select(F.col("c_custkey").cast("string").alias("ticker"), F.col("c_name").alias("name"), F.col("c_custkey").alias("cik")),
