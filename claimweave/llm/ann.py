@@ -34,6 +34,8 @@ SAMPLE = 1 << 15
 MAX_LEAVES = 1 << 12
 #: Rows of the small leaves inside a block.
 LEAF = 48
+#: Neighbours that are verified at once.
+STEP = 64
 
 
 def chi_square_quantile(p: float, m: int = M) -> float:
@@ -114,32 +116,37 @@ class BlockTree:
                 continue
             by = own[np.argsort(projected[own, int(np.argmax(spread))], kind="stable")]
             todo += [by[: len(by) // 2], by[len(by) // 2 :]]
-        self.leaves = [(ids[o], vectors[o], projected[o]) for o in order]
-        self.units = [_unit(v) for _, v, _ in self.leaves]
-        self.low = np.array([p.min(axis=0) for _, _, p in self.leaves])
-        self.high = np.array([p.max(axis=0) for _, _, p in self.leaves])
+        rows = np.concatenate(order)
+        sizes = [len(o) for o in order]
+        starts = np.cumsum([0, *sizes[:-1]])
+        self.ids, self.vectors, self.points, self.units = ids[rows], vectors[rows], projected[rows], _unit(vectors[rows])
+        self.leaf = np.repeat(np.arange(len(order)), sizes)
+        self.low, self.high = np.minimum.reduceat(self.points, starts), np.maximum.reduceat(self.points, starts)
 
     def search(self, query_id: int, vector: np.ndarray, projected: np.ndarray, k: int, reach: float, bound: float) -> list[tuple[float, int]]:
-        """The best ``(-cosine, vec_id)`` found; ``bound`` is a squared k-th distance known before."""
+        """The best ``(-cosine, vec_id)`` found; ``bound`` is a squared k-th distance known before.
+
+        Neighbours in the projection are verified STEP at a time, nearest first, until the next one is
+        farther than the stopping test allows.
+        """
         gap = np.maximum(self.low - projected, 0) + np.maximum(projected - self.high, 0)
-        boxes = (gap * gap).sum(axis=1)
-        unit, best = _unit(vector[None, :])[0], []
-        norm = math.sqrt((vector * vector).sum())
-        for leaf in np.argsort(boxes, kind="stable"):
-            if boxes[leaf] > bound * reach:
+        near = (gap * gap).sum(axis=1) <= bound * reach
+        rows = np.nonzero(near[self.leaf] & (self.ids != query_id))[0]
+        away = ((self.points[rows] - projected) ** 2).sum(axis=1)
+        inside = np.nonzero(away <= bound * reach)[0]
+        inside = inside[np.argsort(away[inside], kind="stable")]
+        rows, away = rows[inside], away[inside]
+        unit, norm = _unit(vector[None, :])[0], math.sqrt((vector * vector).sum())
+        best: list[tuple[float, int]] = []
+        for at in range(0, len(rows), STEP):
+            if away[at] > bound * reach:
                 break  # the stopping test: nearer vectors would have shown up by now
-            ids, own, points = self.leaves[leaf]
-            near = ((points - projected) ** 2).sum(axis=1) <= bound * reach
-            near &= ids != query_id
-            if not near.any():
-                continue
-            rough = ((self.units[leaf][near] - unit) ** 2).sum(axis=1)
-            worth = np.nonzero(near)[0][rough <= bound * (1 + 1e-9) + 1e-12]
-            for row in worth:
+            batch = rows[at : at + STEP]
+            rough = 2 - 2 * (self.units[batch] @ unit)
+            for row in batch[rough <= bound * (1 + 1e-9) + 1e-9]:
                 # scores come from the original vectors, each row on its own, so that ties are ties
-                other = own[row]
-                score = float((other * vector).sum() / (math.sqrt((other * other).sum()) * norm))
-                best.append((-score, int(ids[row])))
+                other = self.vectors[row]
+                best.append((-float((other * vector).sum() / (math.sqrt((other * other).sum()) * norm)), int(self.ids[row])))
             best = sorted(set(best))[:k]
             if len(best) == k:
                 bound = min(bound, max(0.0, 2 + 2 * best[-1][0]))
