@@ -10,12 +10,11 @@ SCHEMA = "doc_id long, text string, start int, ids string"
 
 
 def test_pieces_and_sequences(spark):
-    texts = [None, "", "a", "<|endoftext|> x", "word " * 3000, "é𝄞\n\n  x\t" * 500, "z" * 70000] + [f"text {i} " * (i % 90) for i in range(300)]
+    texts = [None, "", "a", "<|endoftext|> x", "a <|endoftext|><|endoftext|>\n<|endoftext| > b", "word " * 3000, "é𝄞\n\n  x\t" * 500, "z" * 70000] + [f"text {i} " * (i % 90) for i in range(300)]
     rows = [(i, t, 0, "clash") for i, t in enumerate(texts)] + [(2, "a", 0, "clash"), (None, "null id", 0, "clash")]
     docs = spark.createDataFrame(rows, SCHEMA)
     packed = packing.pack_documents(docs, group=64).cache()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = []
     for doc_id, text, *_ in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
