@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import mil_quality, mixing, packing, pii, simhash
+from claimweave.llm import mil_quality, mixing, near_copies, packing, pii
 from claimweave.llm.common import table, work_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return simhash.keep_one_of_each_group(docs).select(COLUMNS)
+    """One document of each group of near duplicates (five words, similarity 0.8): the one with the smallest doc_id."""
+    return near_copies.keep_one_of_each_group(docs).select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
