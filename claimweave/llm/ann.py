@@ -36,6 +36,8 @@ MAX_LEAVES = 1 << 12
 LEAF = 48
 #: Neighbours that are verified at once.
 STEP = 64
+#: Rounding of squared projected distances: equal vectors may be projected to points this far apart.
+MARGIN = 1e-12
 
 
 def chi_square_quantile(p: float, m: int = M) -> float:
@@ -102,6 +104,27 @@ def leaf_of(points: np.ndarray, cuts: list[tuple[int, float]]) -> np.ndarray:
     return node - len(cuts)
 
 
+def _radius(bound, reach: float):
+    """Squared projected distance up to which the stopping test goes on, with room for rounding.
+
+    A bound comes from ``2 - 2 * cosine`` and is itself off by some 1e-15.
+    """
+    return (bound + MARGIN) * reach + MARGIN
+
+
+def _least_copies(ids: np.ndarray, vectors: np.ndarray, keep: int) -> np.ndarray:
+    """Rows of a block that can be among ``keep - 1`` neighbours: of equal vectors the ``keep`` smallest vec_ids."""
+    plain = np.ascontiguousarray(vectors)
+    _, same = np.unique(plain.view(np.dtype((np.void, plain.dtype.itemsize * plain.shape[1]))).ravel(), return_inverse=True)
+    rows = np.lexsort((ids, same))
+    fresh = np.ones(len(rows), dtype=bool)
+    fresh[1:] = (np.diff(same[rows]) != 0) | (np.diff(ids[rows]) != 0)
+    rows = rows[fresh]
+    starts = np.nonzero(np.concatenate([[True], np.diff(same[rows]) != 0]))[0]
+    nth = np.arange(len(rows)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(rows)]])))
+    return np.sort(rows[nth < keep])
+
+
 class BlockTree:
     """A block's vectors, in kd-tree leaves of about LEAF rows each, with the leaves' boxes."""
 
@@ -130,16 +153,16 @@ class BlockTree:
         farther than the stopping test allows.
         """
         gap = np.maximum(self.low - projected, 0) + np.maximum(projected - self.high, 0)
-        near = (gap * gap).sum(axis=1) <= bound * reach
+        near = (gap * gap).sum(axis=1) <= _radius(bound, reach)
         rows = np.nonzero(near[self.leaf] & (self.ids != query_id))[0]
         away = ((self.points[rows] - projected) ** 2).sum(axis=1)
-        inside = np.nonzero(away <= bound * reach)[0]
+        inside = np.nonzero(away <= _radius(bound, reach))[0]
         inside = inside[np.argsort(away[inside], kind="stable")]
         rows, away = rows[inside], away[inside]
         unit, norm = _unit(vector[None, :])[0], math.sqrt((vector * vector).sum())
         best: list[tuple[float, int]] = []
         for at in range(0, len(rows), STEP):
-            if away[at] > bound * reach:
+            if away[at] > _radius(bound, reach):
                 break  # the stopping test: nearer vectors would have shown up by now
             batch = rows[at : at + STEP]
             rough = 2 - 2 * (self.units[batch] @ unit)
@@ -186,7 +209,8 @@ def _search_batches(dim: int, k: int, reach: float):
                     continue
                 if tree is None:
                     own_ids, own = np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
-                    tree = BlockTree(own_ids, own, _unit(own) @ r)
+                    fit = _least_copies(own_ids, own, k + 1)  # a query is no neighbour of itself
+                    tree = BlockTree(own_ids[fit], own[fit], _unit(own[fit]) @ r)
                 projected = _unit(vectors[lo:hi]) @ r
                 for j in range(lo, hi):
                     out += [(int(ids[j]), v, -s) for s, v in tree.search(int(ids[j]), vectors[j], projected[j - lo], k, reach, float(bound[j]))]
@@ -230,7 +254,7 @@ def _visits(boxes_leaf: np.ndarray, low: np.ndarray, high: np.ndarray, salts: di
             for at in range(0, batch.num_rows, 256):
                 p = points[at : at + 256]
                 gap = np.maximum(low[None] - p[:, None], 0) + np.maximum(p[:, None] - high[None], 0)
-                q, leaf = np.nonzero((gap * gap).sum(axis=2) <= (bound[at : at + 256] * reach)[:, None])
+                q, leaf = np.nonzero((gap * gap).sum(axis=2) <= _radius(bound[at : at + 256], reach)[:, None])
                 rows, blocks = [], []
                 for i, f in zip(q.tolist(), boxes_leaf[leaf].tolist()):
                     for salt in range(salts[f]):

@@ -49,3 +49,30 @@ def test_recall_over_many_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("p, x", [(0.95, 15.507), (0.99, 20.090), (0.5, 7.344)])
 def test_chi_square_quantile(p, x):
     assert abs(ann.chi_square_quantile(p, 8) - x) < 1e-3
+
+
+def test_ties_among_more_copies_than_a_step_and_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 256)
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((3, 24))
+    # copies of three vectors, doubled ones among them: equal cosines from unequal rows
+    rows = [(i, (base[i % 3] * (1 if i % 4 else 2)).tolist()) for i in range(4500)] + [(5000 + i, rng.standard_normal(24).tolist()) for i in range(1500)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(rows)
+    assert {q: [i for i, _ in want[q]] for q in want if q < 4500} == {q: v for q, v in got.items() if q < 4500}
+
+
+def test_search_meets_all_copies_at_bound_zero():
+    rng = np.random.default_rng(6)
+    missed = 0
+    for _ in range(30):
+        one = rng.standard_normal(64)
+        vectors = np.concatenate([np.tile(one, (500, 1)), rng.standard_normal((77, 64))])
+        ids = np.concatenate([rng.permutation(500), 1000 + np.arange(77)])
+        r = ann.directions(64)
+        tree = ann.BlockTree(ids, vectors, ann._unit(vectors) @ r)
+        found = tree.search(7, one, (ann._unit(one[None, :]) @ r)[0], 5, ann.chi_square_quantile(0.99), float("inf"))
+        missed += [i for _, i in found] != [0, 1, 2, 3, 4]
+    assert missed == 0
