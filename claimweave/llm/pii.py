@@ -41,21 +41,27 @@ _GENDER = {**{n: "m" for n in MALE}, **{n: "f" for n in FEMALE}}
 _UP, _LOW = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆ-Ώ]", r"[a-zß-öø-ÿа-яёα-ωά-ώ]"
 _NAME = rf"{_UP}{_LOW}+(?:-{_UP}{_LOW}+)?"
 
-#: Found from left to right; of entities that begin at one place the first kind wins.
-_PATTERN = re.compile(
-    r"""(?P<email>(?<![\w.+%-])\w[\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))"""
-    r"""|(?P<secret>(?<![A-Za-z0-9_])(?:(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?)(?P<value>[A-Za-z0-9_\-+/]{12,}={0,2})|(?<![A-Za-z0-9])(?=[0-9a-fA-F]*\d)(?P<hex>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?P<aws>AKIA[0-9A-Z]{16})(?![A-Za-z0-9]))"""
-    r"""|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"""
-    r"""|(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"""
-    r"""|(?P<card>(?<!\d)(?<!\d\.)\d(?:[\x20-]?\d){12,18}(?!\d))"""
-    r"""|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"""
-    r"""|(?P<phone>(?<![\w+])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d(?:[\x20.-]?\d){5,11}|\(\d{3}\)[\x20]?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d))"""
+#: Each kind is searched by itself, so that a candidate that fails its check hides nothing.
+_EMAIL = re.compile(r"(?<![\w.+%-])\w[\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])")
+_SECRET = re.compile(
+    r"""(?<![A-Za-z0-9_])(?:(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?)(?P<value>[A-Za-z0-9_\-+/]{12,}={0,2})|(?<![A-Za-z0-9])(?=[0-9a-fA-F]*\d)(?P<hex>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?P<aws>AKIA[0-9A-Z]{16})(?![A-Za-z0-9])"""
 )
+_IBAN = re.compile(r"(?=(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))")
+_IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")
+_SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
+_PHONE = re.compile(r"(?<![\w+])(?:\(\d{3}\)[\x20]?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\d{3}\x20\d{3}\x20\d{4})(?!\d)")
+_ABROAD = re.compile(r"(?<![\w+])\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d(?:[\x20.-]?\d){5,11}(?!\d)")
+#: Digits in groups with one space or hyphen between, of which cards are whole groups.
+_RUN = re.compile(r"(?<!\d)(?<!\d\.)\d+(?:[\x20-]\d+)*")
+_DATE = re.compile(r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])")
+_GROUP = re.compile(r"\d+")
+#: Lengths of the groups in which cards are printed.
+_CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 3, 3, 3), (6, 13), (8, 8)} | {(n,) for n in range(13, 20)}
 _PERSON = re.compile(
     rf"(?<![\w'])(?:(?P<title>{'|'.join(TITLES)})\.?\x20(?:(?P<first>{_NAME})\x20)?(?P<last>{_NAME})|(?P<given>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\x20(?P<family>{_NAME}))(?!\w)"
 )
 _HAS_NAME = re.compile("|".join([rf"{t}\.? " for t in TITLES] + [f"{n} " for n in _GENDER]))
-_MAY_HOLD = re.compile(r"[@0-9]|(?i:token|secret|passw|key)")
+_MAY_HOLD = re.compile(r"[@0-9]|AKIA|(?i:token|secret|passw|key)")
 
 
 def _script(name: str) -> str:
@@ -72,30 +78,97 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each place where one may begin, the longest run of characters whose check sum is right."""
+    for m in _IBAN.finditer(text):
+        (a, b), ends = m.span(1), [m.end(1)]
+        ends += [k for k in range(b - 1, a, -1) if text[k] == " "]
+        for end in ends:
+            plain = text[a:end].replace(" ", "")
+            if len(plain) >= 12 and _iban_check(plain[:2], plain[4:]) == plain[2:4]:
+                yield a, end
+                break
+
+
+def _phones(text: str) -> list[tuple[int, int]]:
+    """Exact shapes, and numbers with a country code, which end where another number begins."""
+    exact = [m.span() for m in _PHONE.finditer(text)]
+    others = exact + [m.span() for m in _SSN.finditer(text)]
+    abroad = []
+    for m in _ABROAD.finditer(text) if "+" in text else ():
+        a, b = m.span()
+        cut = min([s for s, e in others if a < s < b < e], default=b)
+        m = _ABROAD.fullmatch(text[a:cut].rstrip(" .-"))
+        if m:
+            abroad.append((a, a + m.end()))
+    return abroad + [(a, b) for a, b in exact if not any(x <= a and b <= y for x, y in abroad)]
+
+
+def _cards(text: str, taken: list[tuple[int, int]], doubtful: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of 13 to 19 digits, 16 of them or with a right check sum, outside ``taken`` places.
+
+    At ``doubtful`` places, which look like an IBAN, only a right check sum counts. A card is a whole run or groups of it as cards are printed; a right check sum goes first.
+    """
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        if sum(c.isdigit() for c in m.group()) < 13:
+            continue
+        held = [(x, y) for x, y in taken if x < b and y > a] + [d.span() for d in _DATE.finditer(text, a, b)]
+        runs: list[list[tuple[int, int]]] = [[]]
+        for g in _GROUP.finditer(text, a, b):
+            if any(x < g.end() and y > g.start() for x, y in held):
+                runs.append([])
+            else:
+                runs[-1].append(g.span())
+        for groups in runs:
+            sizes, found = [y - x for x, y in groups], []
+            for i in range(len(groups)):
+                n = 0
+                for k in range(i, len(groups)):
+                    n += sizes[k]
+                    if n > 19:
+                        break
+                    if n < 13:
+                        continue
+                    shape, whole = tuple(sizes[i : k + 1]), k - i + 1 == len(groups)
+                    right = _luhn("".join(text[x:y] for x, y in groups[i : k + 1]))
+                    sixteen = n == 16 and not any(x < groups[k][1] and y > groups[i][0] for x, y in doubtful)
+                    if right and (whole or shape in _CARD_GROUPS or min(shape) >= 4) or sixteen and (whole or shape in _CARD_GROUPS):
+                        found.append((shape not in _CARD_GROUPS, not right, groups[i][0], groups[k][1]))
+            # printed forms with a right sum, other runs with one, then 16 digits without
+            yield from (f[2:] for f in sorted(found, key=lambda f: (f[1], f[0], f[2], -f[3])))
+
+
 def _spans(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """``(start, end, type, canonical value)`` of the entities that patterns find."""
+    """``(start, end, type, canonical value)`` of the entities that patterns find, without overlaps.
+
+    Candidates are checked first; of those that overlap the kind searched earlier stays, so that exact
+    shapes go before runs of digits.
+    """
     if _MAY_HOLD.search(text):
-        for m in _PATTERN.finditer(text):
-            kind, raw, (a, b) = m.lastgroup, m.group(), m.span()
-            kind = next(k for k in ("email", "secret", "iban", "ipv4", "card", "ssn", "phone") if m.group(k) is not None)
-            if kind == "secret":
-                part = next(k for k in ("value", "hex", "aws") if m.group(k) is not None)
-                yield (*m.span(part), kind, m.group(part))
-            elif kind == "iban":
-                plain = raw.replace(" ", "")
-                if _iban_check(plain[:2], plain[4:]) == plain[2:4]:
-                    yield a, b, kind, plain
-            elif kind == "card":
-                digits = re.sub(r"\D", "", raw)
-                if len(digits) == 16 or _luhn(digits):
-                    yield a, b, kind, digits
-            elif kind == "ipv4":
-                yield a, b, kind, ".".join(str(int(x)) for x in raw.split("."))
-            elif kind == "email":
-                yield a, b, kind, raw.lower()
-            else:
-                digits = re.sub(r"\D", "", raw)
-                yield a, b, kind, digits[1:] if kind == "phone" and len(digits) == 11 and digits[0] == "1" else digits
+        taken: list[tuple[int, int, str, str]] = []
+
+        def add(a: int, b: int, kind: str, value: str) -> None:
+            if all(b <= x or y <= a for x, y, *_ in taken):
+                taken.append((a, b, kind, value))
+
+        for m in _EMAIL.finditer(text) if "@" in text else ():
+            add(*m.span(), "email", m.group().lower())
+        for m in _SECRET.finditer(text):
+            part = next(k for k in ("value", "hex", "aws") if m.group(k) is not None)
+            add(*m.span(part), "secret", m.group(part))
+        for a, b in _ibans(text):
+            add(a, b, "iban", text[a:b].replace(" ", ""))
+        for m in _IPV4.finditer(text):
+            add(*m.span(), "ipv4", ".".join(str(int(x)) for x in m.group().split(".")))
+        for m in _SSN.finditer(text):
+            add(*m.span(), "ssn", re.sub(r"\D", "", m.group()))
+        for a, b in _phones(text):
+            digits = re.sub(r"\D", "", text[a:b])
+            add(a, b, "phone", digits[1:] if len(digits) == 11 and digits[0] == "1" else digits)
+        for a, b in _cards(text, [t[:2] for t in taken], [m.span(1) for m in _IBAN.finditer(text)]):
+            add(a, b, "card", re.sub(r"\D", "", text[a:b]))
+        yield from taken
     if _HAS_NAME.search(text):
         known: dict[str, str] = {}
         taken: list[tuple[int, int, str, str]] = []
