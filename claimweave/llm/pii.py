@@ -8,7 +8,7 @@ check sums' validity, names keep their script and the ending usual for their gen
 
 Attempt 0 is computed where the text is. The distinct entities of all documents are also gathered, and
 those whose surrogate is another entity's or is itself an original of the corpus get further attempts,
-round by round, until no two entities share one. These exceptions are few; they are broadcast while
+round by round, until no two entities share one. What is left after MAX_ATTEMPTS exchanges values. These exceptions are few; they are broadcast while
 they are at most BROADCAST_ENTITIES, and beyond that joined to their documents.
 """
 
@@ -30,6 +30,10 @@ from .common import slices, text_or_empty, work_table
 #: Exceptions that are broadcast at most (a type, a value and a number each).
 BROADCAST_ENTITIES = 50_000
 MAX_ATTEMPTS = 64
+#: Attempts after which surrogates come from a wider space of the same type.
+WIDEN = 4
+#: Entities that exchange their values in one task, on average, where a format has too few values.
+CYCLE = 100_000
 DEFAULT_KEY = b"claimweave-surrogates"
 
 # Common given names by script and gender, and titles by gender ("" says nothing).
@@ -219,6 +223,9 @@ _SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga ge go ka ke ki ko la le
 _ENDINGS = {"latin": {"m": ["n", "r", "s", "rt", "ld"], "f": ["na", "ra", "la", "sa", "ia"], "": ["ner", "mann", "ton", "sen", "ley"]}, "cyrillic": {"m": ["н", "р", "м", "с"], "f": ["на", "ра", "ла", "ия"], "": ["нов", "ров", "лев"]}, "greek": {"m": ["ς", "νος", "ρης"], "f": ["να", "ρα", "λη"], "": ["ίδης", "άκης"]}}
 
 
+_PRIVATE = [("10.0.0.0", 1 << 24), ("172.16.0.0", 1 << 20), ("192.168.0.0", 1 << 16)]
+
+
 def surrogate(kind: str, value: str, attempt: int, key: bytes = DEFAULT_KEY) -> str:
     """Canonical surrogate of an entity: same type, keyed, never the value itself."""
     for again in range(64):
@@ -240,13 +247,22 @@ def _surrogate(kind: str, value: str, stream: _Stream, attempt: int, key: bytes)
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
         # one domain stays one domain; only the local part takes further attempts
-        return f"{_like(local, stream)}{'abcdefghij'[attempt % 10] if attempt > 8 else ''}@{_like(host, _Stream(key, 'host', domain))}.{top}"
+        more = "".join("abcdefghij"[stream.below(10)] for _ in range(attempt // 16)) + ("abcdefghij"[attempt % 10] if attempt > 8 else "")
+        return f"{_like(local, stream)}{more}@{_like(host, _Stream(key, 'host', domain))}.{top}"
     if kind == "secret":
+        if attempt >= WIDEN and not re.search("[A-Za-z0-9]", value):  # only signs, which have no others like them
+            return "".join("abcdefghijklmnopqrstuvwxyz0123456789"[stream.below(36)] for _ in value)
         return "AKIA" + _like(value[4:], stream) if re.fullmatch("AKIA[0-9A-Z]{16}", value) else _like(value, stream)
     if kind == "iban":
         rest = _like(value[4:], stream)
         return value[:2] + _iban_check(value[:2], rest) + rest
     if kind == "ipv4":
+        if ip_address(value).is_private and attempt >= WIDEN:  # anywhere in the private networks
+            at = stream.below(sum(n for _, n in _PRIVATE))
+            for base, n in _PRIVATE:
+                if at < n:
+                    return str(ip_address(int(ip_address(base)) + at))
+                at -= n
         if ip_address(value).is_private:
             return ".".join([value.split(".")[0], *(value.split(".")[1:2]), *(str(1 + stream.below(254)) for _ in range(2))])
         while True:
@@ -283,13 +299,17 @@ def render(raw: str, kind: str, made: str) -> str:
     return made
 
 
-def replace(text: str | None, attempts: dict[tuple[str, str], int], key: bytes = DEFAULT_KEY) -> tuple[str | None, dict[str, int]]:
-    """The text with surrogates, and how many entities of each type it held."""
+def replace(text: str | None, attempts: dict[tuple[str, str], int | str], key: bytes = DEFAULT_KEY) -> tuple[str | None, dict[str, int]]:
+    """The text with surrogates, and how many entities of each type it held.
+
+    ``attempts`` names the attempt, or the surrogate itself, of entities that don't have attempt 0.
+    """
     if text is None:
         return None, {}
     out, at, seen = [], 0, {}
     for a, b, kind, value in find_entities(text):
-        out += [text[at:a], render(text[a:b], kind, surrogate(kind, value, attempts.get((kind, value), 0), key))]
+        given = attempts.get((kind, value), 0)
+        out += [text[at:a], render(text[a:b], kind, given if isinstance(given, str) else surrogate(kind, value, given, key))]
         sort = "name" if kind.startswith(("given", "family")) else kind
         seen[sort] = seen.get(sort, 0) + 1
         at = b
@@ -319,8 +339,63 @@ def _made_batches(key: bytes):
     return made
 
 
+def value_format(kind: str, value: str) -> str:
+    """What a surrogate keeps of a value: values of one kind and format may stand for each other."""
+    if kind == "ipv4":
+        return str(ip_address(value).is_private)
+    if kind == "email":
+        return value.partition("@")[2]
+    if kind == "iban":
+        return value[:2] + re.sub("[A-Z]", "A", re.sub(r"\d", "0", value[4:]))
+    if kind == "card":
+        return f"{value[0]}{len(value)}{_luhn(value)}"
+    if kind == "secret":
+        return re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "0", value)))
+    return str(len(value)) if kind in ("phone", "ssn") else ""
+
+
+def _format_batches(key: bytes):
+    def formats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist()))
+            drawn = [hmac.new(key, f"cycle\x1f{k}\x1f{v}".encode("utf-8", "surrogatepass"), hashlib.sha256).hexdigest() for k, v in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([value_format(k, v) for k, v in rows], pa.string()), pa.array(drawn, pa.string())], names=[*batch.schema.names, "format", "drawn"])
+
+    return formats
+
+
+def exchanged(left: DataFrame, settled: DataFrame, key: bytes) -> DataFrame:
+    """``(kind, value, made)`` for the entities without a free surrogate, distinct by construction.
+
+    Those of one format take each other's values, in a keyed circle: no surrogate is a value of these,
+    because surrogates are no originals. Where one is left alone, it takes the surrogate of the least settled
+    entity of its format, which takes its value.
+    """
+    own = work_table(left.select("kind", "value").mapInArrow(_format_batches(key), "kind string, value string, format string, drawn string"), "left")
+    sizes = own.groupBy("kind", "format").agg(F.count(F.lit(1)).alias("n"))
+    crowd = own.join(sizes.filter("n > 1"), ["kind", "format"])
+    # some CYCLE to a bucket, by a hash: none holds a single one
+    placed = crowd.withColumn("bucket", F.pmod(F.xxhash64("drawn"), F.ceil(F.col("n") / CYCLE)))
+    circle = Window.partitionBy("kind", "format", "bucket").orderBy("drawn", "value")
+    whole = circle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = placed.withColumn("made", F.coalesce(F.lead("value").over(circle), F.first("value").over(whole))).select("kind", "value", "made")
+    alone = own.join(sizes.filter("n = 1"), ["kind", "format"]).select("kind", "format", F.col("value").alias("lone"))
+    if alone.isEmpty():
+        return out
+    others = settled.join(alone.select("kind").distinct(), "kind").select("kind", "value", "made")
+    others = others.mapInArrow(_format_batches(key), "kind string, value string, made string, format string, drawn string")
+    partners = others.join(alone, ["kind", "format"]).groupBy("kind", "format", "lone").agg(F.min(F.struct("value", "made")).alias("p"))
+    partners = work_table(partners, "partners")
+    if partners.count() < alone.count():
+        raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts: a format has too few values")
+    swapped = partners.select("kind", F.col("lone").alias("value"), F.col("p.made").alias("made"))
+    return out.unionByName(swapped).unionByName(partners.select("kind", F.col("p.value").alias("value"), F.col("lone").alias("made")))
+
+
 def exceptions(distinct: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """``(kind, value, attempt)`` of the entities that need an attempt beyond the first.
+    """``(kind, value, attempt, made)`` of the entities that need an attempt beyond the first.
+
+    ``made`` is null unless the surrogate isn't that of an attempt but another entity's value.
 
     ``distinct`` holds ``(kind, value)`` without repeats. A surrogate is refused if it is an original
     of its kind or another entity's surrogate; of entities that meet, the one settled first, then the
@@ -342,8 +417,10 @@ def exceptions(distinct: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
         settled = good if settled is None else settled.unionByName(good)
         todo = ruled.filter("NOT good").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         if todo.isEmpty():
-            return settled.filter("attempt > 0").select("kind", "value", "attempt")
-    raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts: a format has too few values")
+            return settled.filter("attempt > 0").select("kind", "value", "attempt", F.lit(None).cast("string").alias("made"))
+    swapped = work_table(exchanged(todo, settled, key), "exchanged")
+    drawn = settled.filter("attempt > 0").join(swapped.select("kind", "value"), ["kind", "value"], "left_anti")
+    return drawn.select("kind", "value", "attempt", F.lit(None).cast("string").alias("made")).unionByName(swapped.select("kind", "value", F.lit(MAX_ATTEMPTS).alias("attempt"), "made"))
 
 
 _COUNTED = ("email", "phone", "ipv4", "card", "ssn", "iban", "secret", "name")
@@ -356,7 +433,7 @@ def _replace_batches(attempts, key: bytes, keep: list[str], with_map: bool):
             for part in slices(batch, "text"):
                 texts, counts = [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    own = {(e["kind"], e["value"]): e["attempt"] for e in part.column("pii_map")[i].as_py() or ()} if with_map else known
+                    own = {(e["kind"], e["value"]): e["attempt"] if e["made"] is None else e["made"] for e in part.column("pii_map")[i].as_py() or ()} if with_map else known
                     new, seen = replace(text, own, key)
                     texts.append(new)
                     counts.append([seen.get(k, 0) for k in _COUNTED])
@@ -381,8 +458,8 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, broadcast_limit: int
     for name in added:
         schema = StructType([*schema, StructType().add(name, "long")[0]])
     if odd.count() <= broadcast_limit:
-        known = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): r.attempt for r in odd.collect()})
+        known = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): r.attempt if r.made is None else r.made for r in odd.collect()})
         return kept.mapInArrow(_replace_batches(known, key, kept.columns, False), schema)
-    maps = found.join(odd, ["kind", "value"]).distinct().groupBy("row_key").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("pii_map"))
+    maps = found.join(odd, ["kind", "value"]).distinct().groupBy("row_key").agg(F.collect_list(F.struct("kind", "value", "attempt", "made")).alias("pii_map"))
     joined = kept.withColumn("row_key", F.xxhash64("text")).join(maps, "row_key", "left").select(*kept.columns, "pii_map")
     return joined.mapInArrow(_replace_batches(None, key, kept.columns, True), schema)

@@ -100,3 +100,42 @@ def test_rejected_candidates_hide_nothing(text, found):
     assert [(k, text[a:b]) for a, b, k, _ in pii.find_entities(text)] == found
     made, _ = pii.replace(text, {})
     assert not any(v in made for _, v in found)
+
+
+def _final(odd, values):
+    given = {(r.kind, r.value): r.attempt if r.made is None else r.made for r in odd.collect()}
+    return {v: x if isinstance(x := given.get(v, 0), str) else pii.surrogate(*v, x) for v in values}
+
+
+def test_a_private_network_that_is_more_than_half_full(spark):
+    values = [("ipv4", f"192.168.{i // 250}.{1 + i % 250}") for i in range(33_000)] + [("secret", "-" * 12)]
+    made = _final(pii.exceptions(spark.createDataFrame(values, "kind string, value string")), values)
+    assert len(set(made.values())) == len(values) and not set(made.values()) & {v for _, v in values}
+    assert all(pii.ip_address(x).is_private for (k, _), x in made.items() if k == "ipv4")
+
+
+def test_formats_without_room_exchange_values(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 2)
+    values = [("ssn", f"00000000{i}") for i in range(5)] + [("phone", f"555000{i}") for i in range(3)]
+    real = pii.surrogate
+
+    def few(kind, value, attempt, key=pii.DEFAULT_KEY):  # numbers of the corpus only; one phone alone meets another
+        return values[0][1] if kind == "ssn" else "7777777" if value in ("5550001", "5550002") else real(kind, value, attempt, key)
+
+    first = {v: few(*v, 0) for v in values}
+
+    def made_batches(key):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "value", "attempt")), pa.array([first[k, v] for k, v in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist())], pa.string())], names=["kind", "value", "attempt", "made"])
+
+        return run
+
+    monkeypatch.setattr(pii, "_made_batches", made_batches)
+    odd = pii.exceptions(spark.createDataFrame(values, "kind string, value string"))
+    given = {(r.kind, r.value): r.made for r in odd.collect() if r.made is not None}
+    final = {v: given.get(v, first[v]) for v in values}
+    assert len({(k, m) for (k, _), m in final.items()}) == len(values)
+    assert all(m != v and len(m) == len(v) for (_, v), m in final.items())
