@@ -120,10 +120,11 @@ def even_out(sizes: np.ndarray, pools: list[list[tuple[int, int]]]) -> list[tupl
     """Moves ``(row number, from, to)`` of pool rows ``(row number, size)`` that narrow the sizes.
 
     Step by step the fullest shard gives one row to the emptiest, or swaps one for a smaller one,
-    whichever halves their difference best; it ends where no step helps.
+    whichever halves their difference best; it ends where no step helps. Each step lowers the sum of
+    squared sizes, so it does end.
     """
     sizes, pools, out = sizes.astype(np.int64).copy(), [list(p) for p in pools], {}
-    for _ in range(8 * len(pools) + 256):
+    while True:
         a, b = int(np.argmax(sizes)), int(np.argmin(sizes))
         gap = int(sizes[a] - sizes[b])
         if gap < 2 or not pools[a]:
@@ -226,18 +227,16 @@ def solve(rows: DataFrame, old_shards: int, new_shards: int, cost: np.ndarray |
     return plan
 
 
-def rewrite(docs: DataFrame, plan: Plan, old_shard: Column, path: str) -> DataFrame:
-    """Write the affected shards' rows below ``path`` as ``shard=N`` and read them back.
+def _slotted(docs: DataFrame, plan: Plan, old_shard: Column, shards: list[int]) -> DataFrame:
+    """The rows of ``shards`` with ``old_shard``, ``slot`` and ``shard``.
 
-    The files hold the columns of ``docs``, ``old_shard`` and ``slot``: the row's place in its shard,
-    without gaps. A shard is cut into ranges of about FILE_BYTES bytes by position,
-    which are numbered one by one; the ranges' row counts give each its first slot.
+    A shard is cut into ranges of about FILE_BYTES bytes by position, which are numbered one by one;
+    the ranges' row counts give each its first slot.
     """
-    spark = docs.sparkSession
     keyed = docs.withColumn("old_shard", old_shard).withColumn("position", row_position())
     placed = apply_plan(keyed, plan)
-    if len(plan.affected) < plan.new_shards:
-        placed = placed.filter(F.col("shard").isin(sorted(plan.affected)))
+    if len(shards) < plan.new_shards:
+        placed = placed.filter(F.col("shard").isin(shards))
     held = sum(plan.flows.values())
     ranges = max(1, -(-held // (plan.new_shards * FILE_BYTES)))
     ranged = placed.withColumn("range_no", F.least(F.floor(F.col("position") / F.lit(float(1 << 63)) * ranges), F.lit(ranges - 1)).cast("int"))
@@ -246,17 +245,36 @@ def rewrite(docs: DataFrame, plan: Plan, old_shard: Column, path: str) -> DataFr
     numbered = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "range_no").orderBy("position", "doc_id")))
     # a row for each file at most, that is for each FILE_BYTES of input
     slotted = numbered.join(firsts.hint("shuffle_merge") if ranges > 64 else F.broadcast(firsts), ["shard", "range_no"]).withColumn("slot", F.col("first_slot") + F.col("nth") - 1)
-    out = slotted.select(*docs.columns, "old_shard", "slot", "shard")
+    return slotted.select(*docs.columns, "old_shard", "slot", "shard")
+
+
+def rewrite(docs: DataFrame, plan: Plan, old_shard: Column, path: str) -> DataFrame:
+    """Write the affected shards' rows below ``path`` as ``shard=N`` and read them back.
+
+    The files hold the columns of ``docs``, ``old_shard`` and ``slot``: the row's place in its shard,
+    without gaps. All other shards' files stay as they are; :func:`reshard` returns their rows too.
+    """
+    out = _slotted(docs, plan, old_shard, sorted(plan.affected))
     out.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return spark.read.schema(out.schema).parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def reshard(docs: DataFrame, path: str, old_shards: int, new_shards: int, cost: np.ndarray | None = None) -> DataFrame:
     """Grow or shrink a layout of ``old_shards`` (by :func:`hash_layout`) to ``new_shards``, by bytes.
 
-    Null texts have no bytes, null doc_ids lie in one shard; rows equal in doc_id and text stay
-    together; an empty table gives an empty result.
+    Returns all rows: those of affected shards from the rewritten files, those of the others from
+    ``docs``, where they stay. Null texts have no bytes, null doc_ids lie in one shard; rows equal in
+    doc_id and text stay together; an empty table gives an empty result.
     """
     rows = work_table(docs.select(hash_layout(old_shards).alias("old_shard"), row_position().alias("position"), row_size().alias("size")), "rows")
     plan = solve(rows, old_shards, new_shards, cost)
-    return rewrite(docs, plan, hash_layout(old_shards), path)
+    stay = sorted(set(range(new_shards)) - plan.affected)
+    if not plan.affected:
+        return _slotted(docs, plan, hash_layout(old_shards), stay)
+    moved = rewrite(docs, plan, hash_layout(old_shards), path)
+    return moved.unionByName(_slotted(docs, plan, hash_layout(old_shards), stay)) if stay and rows.filter(~_in_affected(plan)).limit(1).count() else moved
+
+
+def _in_affected(plan: Plan) -> Column:
+    """Whether a row of an old layout lies in a shard that the plan touches."""
+    return F.col("old_shard").isin(sorted(plan.affected))

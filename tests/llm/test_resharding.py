@@ -3,6 +3,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimweave.llm import resharding
 from claimweave.llm.common import work_path
@@ -61,6 +62,35 @@ def test_untouched_shards_are_not_rewritten(spark):
     assert {r.shard for r in got.select("shard").distinct().collect()} == {1, 2} and plan.affected == {1, 2} and plan.moved_bytes == 3
 
 
+def _rows_by_shard(shards, counts):
+    """Rows of equal size, ``counts[k]`` of them in old shard ``k`` of the hash layout."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    ids = spark.range(4000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64(F.lit("layout"), F.col("id")), F.lit(shards)).alias("s")).collect()
+    by = {}
+    for r in ids:
+        by.setdefault(r.s, []).append(r.doc_id)
+    return [(i, None) for k, n in enumerate(counts) for i in by[k][:n]]
+
+
+@pytest.mark.parametrize("old, new, counts", [(4, 4, [20, 20, 20, 20]), (4, 4, [20, 10, 30, 20]), (4, 5, [16, 24, 20, 20]), (4, 4, [40, 0, 0, 0]), (4, 4, [1, 0, 0, 0]), (4, 4, [0, 0, 0, 0]), (4, 3, [20, 20, 20, 0])])
+def test_no_row_is_lost_where_a_shard_needs_no_move(spark, old, new, counts):
+    rows = _rows_by_shard(old, counts)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = resharding.reshard(docs, work_path(spark, "t"), old, new).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(0 <= k < new and sorted(s) == list(range(len(s))) for k, s in slots.items())
+    n = sum(counts)
+    sizes = [len(slots.get(k, [])) for k in range(new)]
+    assert max(sizes) - min(sizes) <= 1
+    least = sum(max(0, c - -(-n // new) if i < new else c) for i, c in enumerate(counts))
+    assert sum(r.shard != r.old_shard for r in got) <= least + new
+
+
 def test_empty_table_and_crc(spark):
     assert resharding.reshard(spark.createDataFrame([], "doc_id long, text string"), work_path(spark, "t"), 4, 5).count() == 0
     from claimweave.llm.queries import op3_resharding
