@@ -42,6 +42,13 @@ def test_counts_match_brute_force(spark, weights, total):
     assert all(sorted(v) == list(range(len(v))) for v in seen.values())
 
 
+def test_many_sources_are_joined_with_salts(spark):
+    rows = [(i, f"t{i}", "en", None if i % 7 == 0 else "a" if i % 3 else "b", 1, "c", 9) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    wide, narrow = (Counter((r.doc_id, r.mix_copy, r.mix_rate) for r in mixing.mix_sources(docs, broadcast_limit=n).collect()) for n in (10, 0))
+    assert wide == narrow and len(wide) > 200
+
+
 def test_shares_come_near_the_weights(spark):
     rows = [(i, "t", "en", "hot" if i % 3 else f"s{i % 9}", 1, "c", 9) for i in range(6000)]
     got = Counter(r.source for r in mixing.mix_sources(spark.createDataFrame(rows, SCHEMA)).collect())
