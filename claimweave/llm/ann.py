@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by stable projections and kd-trees, with a chi-square stopping test.
+"""Approximate nearest neighbours by stable projections and a kd-tree, with a chi-square stopping test.
 
 Vectors are scaled to length 1, where the order of Euclidean distances is that of cosines, and
 projected on M Gaussian (2-stable) directions. For two vectors at distance d the squared projected
@@ -6,16 +6,19 @@ distance over d^2 follows the chi-square law with M degrees of freedom. So once
 distance is d_k, a vector that is nearer than that lies within ``d_k * sqrt(quantile(P))`` in the
 projection with probability P, and the search along growing projected distance may stop there.
 
-The kd-tree has two levels. Its top, fitted to a bounded sample, deals all vectors into leaves, and
-hot leaves into blocks of about BLOCK rows; each block has a kd-tree of its own. A query first searches
-its own block, which bounds d_k, and then goes only to the blocks whose boxes reach into that radius.
-Blocks stream: a task holds one block and one batch of queries at a time.
+The kd-tree is over the projections. Its first levels are fitted to a bounded sample; leaves that hold more
+than two blocks are cut again on their widest axis at quantiles of all their points, level by level, so the
+tree grows with the data and no leaf is cut by anything but an axis. Of equal vectors the k + 1 smallest
+vec_ids are candidates, and equal queries are asked once, so copies crowd no leaf. A query first searches its own
+leaf, which bounds d_k, and then goes only to the leaves whose boxes reach into that radius, as (query, leaf,
+bound). Leaves stream: a task holds one leaf and one batch of queries at a time.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +28,19 @@ from pyspark.sql import functions as F
 from .common import work_table
 
 M = 8
-P = 0.99
+P = 0.9
 SEED = 20240607
-#: Rows of a block, on average.
+#: Rows of a leaf, on average.
 BLOCK = 2048
-#: Rows to which the top of the tree is fitted, and leaves it has at most (a box is 2 * M numbers).
+#: Rows to which the first levels of the tree are fitted, and leaves these have at most.
 SAMPLE = 1 << 15
-MAX_LEAVES = 1 << 12
-#: Rows of the small leaves inside a block.
-LEAF = 48
-#: Neighbours that are verified at once.
-STEP = 64
+TOP_LEAVES = 1 << 12
+#: Pieces into which a leaf is cut at a further level, and such levels at most (16^12 leaves for each of the top).
+PIECES, MAX_LEVELS = 16, 12
+#: Leaves with cuts that are broadcast at most, and bytes of query vectors.
+BROADCAST_LEAVES, BROADCAST_BYTES = 1 << 16, 64 << 20
+#: Neighbours that are verified at once, and queries of a leaf that are searched together.
+STEP, TOGETHER = 128, 128
 #: Rounding of squared projected distances: equal vectors may be projected to points this far apart.
 MARGIN = 1e-12
 
@@ -112,157 +117,159 @@ def _radius(bound, reach: float):
     return (bound + MARGIN) * reach + MARGIN
 
 
-def _least_copies(ids: np.ndarray, vectors: np.ndarray, keep: int) -> np.ndarray:
-    """Rows of a block that can be among ``keep - 1`` neighbours: of equal vectors the ``keep`` smallest vec_ids."""
-    plain = np.ascontiguousarray(vectors)
-    _, same = np.unique(plain.view(np.dtype((np.void, plain.dtype.itemsize * plain.shape[1]))).ravel(), return_inverse=True)
-    rows = np.lexsort((ids, same))
-    fresh = np.ones(len(rows), dtype=bool)
-    fresh[1:] = (np.diff(same[rows]) != 0) | (np.diff(ids[rows]) != 0)
-    rows = rows[fresh]
-    starts = np.nonzero(np.concatenate([[True], np.diff(same[rows]) != 0]))[0]
-    nth = np.arange(len(rows)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(rows)]])))
-    return np.sort(rows[nth < keep])
-
-
-class BlockTree:
-    """A block's vectors, in kd-tree leaves of about LEAF rows each, with the leaves' boxes."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray):
-        order: list[np.ndarray] = []
-        todo = [np.arange(len(ids))]
-        while todo:
-            own = todo.pop()
-            spread = np.ptp(projected[own], axis=0)
-            if len(own) <= LEAF or spread.max() == 0:
-                order.append(own)
-                continue
-            by = own[np.argsort(projected[own, int(np.argmax(spread))], kind="stable")]
-            todo += [by[: len(by) // 2], by[len(by) // 2 :]]
-        rows = np.concatenate(order)
-        sizes = [len(o) for o in order]
-        starts = np.cumsum([0, *sizes[:-1]])
-        self.ids, self.vectors, self.points, self.units = ids[rows], vectors[rows], projected[rows], _unit(vectors[rows])
-        self.leaf = np.repeat(np.arange(len(order)), sizes)
-        self.low, self.high = np.minimum.reduceat(self.points, starts), np.maximum.reduceat(self.points, starts)
-
-    def search(self, query_id: int, vector: np.ndarray, projected: np.ndarray, k: int, reach: float, bound: float) -> list[tuple[float, int]]:
-        """The best ``(-cosine, vec_id)`` found; ``bound`` is a squared k-th distance known before.
+class Leaf:
+    """The vectors of a leaf of the tree."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions_: np.ndarray):
+        self.ids, self.vectors, self.units = ids, vectors, _unit(vectors)
+        self.points, self.norms = self.units @ directions_, np.sqrt((vectors * vectors).sum(axis=1))
+
+    def search(self, vectors: np.ndarray, points: np.ndarray, k: int, reach: float, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best ``(query number, vec_id, cosine)`` found, ``k`` a query at most; ``bounds`` are squared k-th distances known before.
 
         Neighbours in the projection are verified STEP at a time, nearest first, until the next one is
-        farther than the stopping test allows.
+        farther than the stopping test allows. Scores come from the original vectors, each row on its
+        own, so that ties are ties.
         """
-        gap = np.maximum(self.low - projected, 0) + np.maximum(projected - self.high, 0)
-        near = (gap * gap).sum(axis=1) <= _radius(bound, reach)
-        rows = np.nonzero(near[self.leaf] & (self.ids != query_id))[0]
-        away = ((self.points[rows] - projected) ** 2).sum(axis=1)
-        inside = np.nonzero(away <= _radius(bound, reach))[0]
-        inside = inside[np.argsort(away[inside], kind="stable")]
-        rows, away = rows[inside], away[inside]
-        unit, norm = _unit(vector[None, :])[0], math.sqrt((vector * vector).sum())
-        best: list[tuple[float, int]] = []
-        for at in range(0, len(rows), STEP):
-            if away[at] > _radius(bound, reach):
+        n, bounds = len(vectors), bounds.copy()
+        away = ((points[:, None, :] - self.points[None]) ** 2).sum(axis=2)
+        order = np.argsort(away, axis=1, kind="stable")
+        away = np.take_along_axis(away, order, axis=1)
+        units, norms = _unit(vectors), np.sqrt((vectors * vectors).sum(axis=1))
+        best, best_ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        for at in range(0, len(self.ids), STEP):
+            open_ = np.nonzero(away[:, at] <= _radius(bounds, reach))[0]
+            if not len(open_):
                 break  # the stopping test: nearer vectors would have shown up by now
-            batch = rows[at : at + STEP]
-            rough = 2 - 2 * (self.units[batch] @ unit)
-            for row in batch[rough <= bound * (1 + 1e-9) + 1e-9]:
-                # scores come from the original vectors, each row on its own, so that ties are ties
-                other = self.vectors[row]
-                best.append((-float((other * vector).sum() / (math.sqrt((other * other).sum()) * norm)), int(self.ids[row])))
-            best = sorted(set(best))[:k]
-            if len(best) == k:
-                bound = min(bound, max(0.0, 2 + 2 * best[-1][0]))
-        return best
+            rows = order[open_, at : at + STEP]
+            rough = 2 - 2 * np.einsum("qsd,qd->qs", self.units[rows], units[open_])
+            q, nth = np.nonzero(rough <= (bounds[open_] * (1 + 1e-9) + 1e-9)[:, None])
+            row, own = rows[q, nth], open_[q]
+            scores, ids = np.full(rough.shape, -np.inf), np.full(rough.shape, np.iinfo(np.int64).max)
+            scores[q, nth] = (self.vectors[row] * vectors[own]).sum(axis=1) / (self.norms[row] * norms[own])
+            ids[q, nth] = self.ids[row]
+            scores, ids = np.concatenate([best[open_], scores], axis=1), np.concatenate([best_ids[open_], ids], axis=1)
+            by_id = np.argsort(ids, axis=1, kind="stable")
+            scores, ids = np.take_along_axis(scores, by_id, axis=1), np.take_along_axis(ids, by_id, axis=1)
+            first = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            best[open_], best_ids[open_] = np.take_along_axis(scores, first, axis=1), np.take_along_axis(ids, first, axis=1)
+            worst = best[open_, k - 1]
+            bounds[open_] = np.where(worst > -np.inf, np.minimum(bounds[open_], np.maximum(0.0, 2 - 2 * worst)), bounds[open_])
+        q, nth = np.nonzero(best > -np.inf)
+        return q, best_ids[q, nth], best[q, nth]
 
 
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _found_batch(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
-    q, v, s = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+def _search_batches(dim: int, k: int, reach: float, shared):
+    """Rows come sorted by (leaf, is_query): a leaf's vectors, then the queries that visit it.
 
-
-def _search_batches(dim: int, k: int, reach: float):
-    """Rows come sorted by (block, is_query): a block's vectors, then the queries that visit it."""
+    Queries have their vectors with them, or in ``shared``: sorted ids and a matrix.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_block, parts, tree = None, [], None
+        held, parts, leaf = None, [], None
         r = directions(dim)
         for batch in batches:
-            block = batch.column("block").to_numpy()
+            where = batch.column("leaf").to_numpy()
             is_query = batch.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
             ids, bound = batch.column("vec_id").to_numpy(), batch.column("bound").to_numpy(zero_copy_only=False)
-            vectors = _matrix(batch.column("embedding"), dim)
-            cuts = np.concatenate([[0], np.nonzero((np.diff(block) != 0) | (np.diff(is_query.astype(int)) != 0))[0] + 1, [len(block)]])
-            out: list[tuple[int, int, float]] = []
+            cuts = np.concatenate([[0], np.nonzero((np.diff(where) != 0) | (np.diff(is_query.astype(int)) != 0))[0] + 1, [len(where)]])
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if hi == lo:
                     continue
-                if block[lo] != held_block:
-                    held_block, parts, tree = block[lo], [], None
+                if where[lo] != held:
+                    held, parts, leaf = where[lo], [], None
                 if not is_query[lo]:
-                    parts.append((ids[lo:hi].copy(), vectors[lo:hi].copy()))
+                    parts.append((ids[lo:hi].copy(), _matrix(batch.column("embedding").slice(lo, hi - lo), dim).copy()))
                     continue
                 if not parts:
                     continue
-                if tree is None:
-                    own_ids, own = np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
-                    fit = _least_copies(own_ids, own, k + 1)  # a query is no neighbour of itself
-                    tree = BlockTree(own_ids[fit], own[fit], _unit(own[fit]) @ r)
-                projected = _unit(vectors[lo:hi]) @ r
-                for j in range(lo, hi):
-                    out += [(int(ids[j]), v, -s) for s, v in tree.search(int(ids[j]), vectors[j], projected[j - lo], k, reach, float(bound[j]))]
-            yield _found_batch(out)
+                if leaf is None:
+                    leaf = Leaf(np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts]), r)
+                for at in range(lo, hi, TOGETHER):
+                    to = min(hi, at + TOGETHER)
+                    if shared is None:
+                        vectors = _matrix(batch.column("embedding").slice(at, to - at), dim)
+                    else:
+                        vectors = shared.value[1][np.searchsorted(shared.value[0], ids[at:to])]
+                    q, v, score = leaf.search(vectors, _unit(vectors) @ r, k, reach, bound[at:to])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at:to][q]), pa.array(v), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return search
 
 
 def usable_vectors(embeddings: DataFrame) -> DataFrame:
-    """``(vec_id, embedding)`` with doubles: not null, not zero, all components finite.
-
-    Of different lengths only the most frequent one (of several, the longest) takes part, as there is
-    no cosine between the others.
-    """
+    """``(vec_id, embedding)`` with doubles: not null, not zero, all components finite."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     named = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"))
     return named.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def _block_batches(dim: int, cuts: list[tuple[int, float]]):
+def _place_batches(dim: int, cuts: list[tuple[int, float]]):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = directions(dim)
         for batch in batches:
             projected = _unit(_matrix(batch.column("embedding"), dim)) @ r if batch.num_rows else np.zeros((0, M))
-            leaf = leaf_of(projected, cuts)
             point = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * M + 1, M), pa.int32()), pa.array(projected.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(leaf), point], names=["vec_id", "embedding", "leaf", "point"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf_of(projected, cuts)), point], names=[*batch.schema.names, "leaf", "point"])
 
     return place
 
 
-def _visits(boxes_leaf: np.ndarray, low: np.ndarray, high: np.ndarray, salts: dict[int, int], reach: float):
-    """For each query the blocks, other than its own, whose leaves' boxes reach into its radius."""
+class Tree:
+    """The cuts of all levels: those of the top in heap order, and a table ``(leaf, axis, cuts)`` for each further level."""
+
+    def __init__(self, dim: int, top: list[tuple[int, float]]):
+        self.dim, self.top, self.levels = dim, top, []
+
+    def place(self, vectors: DataFrame) -> DataFrame:
+        """``vectors``, of which ``embedding`` is a column, with ``leaf`` and ``point``."""
+        placed = vectors.mapInArrow(_place_batches(self.dim, self.top), f"{', '.join(f'{n} {t}' for n, t in vectors.dtypes)}, leaf long, point array<double>")
+        return reduce(self._cut, self.levels, placed)
+
+    @staticmethod
+    def _cut(placed: DataFrame, level: tuple[DataFrame, int]) -> DataFrame:
+        cuts, n = level
+        value = F.get("point", F.col("axis"))
+        piece = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c < value)))
+        joined = placed.join(F.broadcast(cuts) if n <= BROADCAST_LEAVES else cuts, "leaf", "left")
+        return joined.withColumn("leaf", F.col("leaf") * PIECES + piece).select(placed.columns)
+
+    def grow(self, vectors: DataFrame) -> DataFrame:
+        """Cut leaves of more than two blocks until there are none; returns each leaf's ``(leaf, n, box)``."""
+        for _ in range(MAX_LEVELS + 1):
+            placed = self.place(vectors)
+            sides = [f(F.get("point", F.lit(i))).alias(f"{name}{i}") for i in range(M) for name, f in (("low", F.min), ("high", F.max))]
+            boxes = work_table(placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *sides), "boxes")
+            widths = [F.col(f"high{i}") - F.col(f"low{i}") for i in range(M)]
+            widest = F.greatest(*widths)
+            axis = F.coalesce(*(F.when(w == widest, i) for i, w in enumerate(widths)))
+            large = boxes.filter((F.col("n") > 2 * BLOCK) & (widest > 0)).select("leaf", axis.alias("axis"))
+            n = large.count() if len(self.levels) < MAX_LEVELS else 0
+            if not n:
+                break
+            inside = placed.join(F.broadcast(large) if n <= BROADCAST_LEAVES else large, "leaf")
+            quantiles = F.percentile_approx(F.get("point", F.col("axis")), F.array(*(F.lit(i / PIECES) for i in range(1, PIECES))), 1000)
+            self.levels.append((work_table(inside.groupBy("leaf", "axis").agg(quantiles.alias("cuts")), "cuts"), n))
+        return boxes
+
+
+def _visit_batches(shared, reach: float):
+    """For each query the leaves, other than its own, whose boxes reach into its radius."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, low, high = shared.value
         for batch in batches:
-            points = _matrix(batch.column("point"), M)
-            bound = batch.column("bound").to_numpy(zero_copy_only=False)
-            own = batch.column("block").to_numpy()
-            for at in range(0, batch.num_rows, 256):
-                p = points[at : at + 256]
-                gap = np.maximum(low[None] - p[:, None], 0) + np.maximum(p[:, None] - high[None], 0)
-                q, leaf = np.nonzero((gap * gap).sum(axis=2) <= _radius(bound[at : at + 256], reach)[:, None])
-                rows, blocks = [], []
-                for i, f in zip(q.tolist(), boxes_leaf[leaf].tolist()):
-                    for salt in range(salts[f]):
-                        if f << 32 | salt != own[at + i]:
-                            rows.append(at + i)
-                            blocks.append(f << 32 | salt)
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("embedding").take(take), pa.array(blocks, pa.int64()), batch.column("bound").take(take)], names=["vec_id", "embedding", "block", "bound"])
+            points, own = _matrix(batch.column("point"), M), batch.column("leaf").to_numpy()
+            ids, bound = batch.column("vec_id").to_numpy(), batch.column("bound").to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows):  # one query against all boxes
+                gap = np.maximum(low - points[at], 0) + np.maximum(points[at] - high, 0)
+                found = leaf[(gap * gap).sum(axis=1) <= _radius(bound[at], reach)]
+                found = found[found != own[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[at])), pa.array(found), pa.array(np.full(len(found), bound[at]))], names=["vec_id", "leaf", "bound"])
 
     return visit
 
@@ -270,42 +277,63 @@ def _visits(boxes_leaf: np.ndarray, low: np.ndarray, high: np.ndarray, salts: di
 def nearest(embeddings: DataFrame, is_query, k: int = 5, p: float = P) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each row that is a query.
 
-    ``is_query`` is a condition on ``vec_id``; all other rows with usable vectors are candidates.
-    Ties of score go to the smaller vec_id; rows that repeat a vec_id are one candidate, never of
-    themselves. A query with fewer candidates gets them all. No rows give none.
+    ``is_query`` is a condition on ``vec_id``; all other rows with usable vectors are candidates. Between
+    vectors of different lengths there is no cosine: each length is searched by itself. Ties of score go
+    to the smaller vec_id; rows that repeat a vec_id are one candidate, never of themselves, and the least
+    of their longest vectors counts. A query with fewer candidates gets them all. No rows give none.
     """
     spark = embeddings.sparkSession
-    lengths = usable_vectors(embeddings).groupBy(F.size("embedding").alias("dim")).count()
-    common = lengths.orderBy(F.desc("count"), F.desc("dim")).first()
-    if common is None:
+    vectors = usable_vectors(embeddings)
+    if not vectors.groupBy("vec_id").count().filter("count > 1").isEmpty():
+        least = F.min(F.struct(-F.size("embedding"), "embedding"))
+        vectors = work_table(vectors.groupBy("vec_id").agg(least.alias("x")).select("vec_id", "x.embedding"), "once")
+    lengths = vectors.groupBy(F.size("embedding").alias("dim")).count().filter("count > 1").orderBy("dim").collect()  # a row for each length
+    found = [_nearest(vectors.filter(F.size("embedding") == r["dim"]), r["dim"], r["count"], is_query, k, p) for r in lengths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest(vectors: DataFrame, dim: int, n: int, is_query, k: int, p: float) -> DataFrame:
+    """:func:`nearest` for ``n`` vectors of one length, each vec_id once."""
+    spark, reach = vectors.sparkSession, chi_square_quantile(p)
+    # of equal vectors only k + 1 can be anybody's neighbours; Spark limits each group before the shuffle
+    nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    candidates = work_table(vectors.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth"), "candidates")
+    asked = work_table(vectors.filter(is_query), "asked")
+    queries = work_table(asked.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")), "queries")  # equal ones are asked once
+    n_queries = queries.count()
+    if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, reach = common["dim"], common["count"], chi_square_quantile(p)
-    vectors = usable_vectors(embeddings).filter(F.size("embedding") == dim)
-    leaves = min(MAX_LEAVES, max(1, n // BLOCK))
     every = max(1, n // SAMPLE)
-    sample = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * SAMPLE)  # only where to cut hangs on it
+    sample = candidates.filter(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * SAMPLE)  # only where to cut hangs on it
     sampled = _matrix(sample.select("embedding").toArrow().column("embedding").combine_chunks(), dim)
-    cuts = fit_cuts(_unit(sampled) @ directions(dim) if len(sampled) else np.zeros((0, M)), leaves)
-    placed = vectors.mapInArrow(_block_batches(dim, cuts), "vec_id long, embedding array<double>, leaf long, point array<double>")
-    placed = work_table(placed, "placed")
-    sides = [f(F.col("point")[i]).alias(f"{name}{i}") for i in range(M) for name, f in (("low", F.min), ("high", F.max))]
-    boxes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *sides).collect()  # MAX_LEAVES rows at most
-    salts = {r.leaf: max(1, -(-r.n // (2 * BLOCK))) for r in boxes}
-    low, high = (np.array([[r[f"{name}{i}"] for i in range(M)] for r in boxes]) for name in ("low", "high"))
-    salt = F.pmod(F.xxhash64("vec_id"), F.element_at(F.create_map(*(x for f, s in salts.items() for x in (F.lit(f), F.lit(s)))), F.col("leaf")))
-    blocked = placed.withColumn("block", F.shiftleft("leaf", 32).bitwiseOR(salt))
-    rows = blocked.select("block", F.lit(False).alias("is_query"), "vec_id", "embedding", F.lit(float("inf")).alias("bound"))
-    queries = blocked.filter(is_query).dropDuplicates(["vec_id"]).select("vec_id", "embedding", "point", "block")
+    tree = Tree(dim, fit_cuts(_unit(sampled) @ directions(dim) if len(sampled) else np.zeros((0, M)), min(TOP_LEAVES, max(1, n // BLOCK))))
+    boxes = tree.grow(candidates).toArrow()  # 18 numbers for each BLOCK vectors
+    low, high = (np.stack([boxes.column(f"{side}{i}").to_numpy() for i in range(M)], axis=1) for side in ("low", "high"))
+    shared_boxes = spark.sparkContext.broadcast((boxes.column("leaf").to_numpy(), low, high))
+    rows = tree.place(candidates).select("leaf", F.lit(False).alias("is_query"), "vec_id", "embedding", F.lit(float("inf")).alias("bound"))
+    placed = work_table(tree.place(queries.select("vec_id", "embedding")), "placed")
+    shared = None
+    if n_queries * dim * 8 <= BROADCAST_BYTES:
+        got = placed.select("vec_id", "embedding").orderBy("vec_id").toArrow()
+        shared = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), _matrix(got.column("embedding").combine_chunks(), dim)))
 
     def searched(visits: DataFrame) -> DataFrame:
-        both = rows.unionByName(visits.select("block", F.lit(True).alias("is_query"), "vec_id", "embedding", "bound"))
-        return both.repartition("block").sortWithinPartitions("block", "is_query", "vec_id").mapInArrow(_search_batches(dim, k, reach), _FOUND)
-
-    at_home = work_table(searched(queries.withColumn("bound", F.lit(float("inf")))), "home")
+        if shared is None:
+            visits = visits.join(placed.select("vec_id", "embedding"), "vec_id")
+        else:
+            visits = visits.withColumn("embedding", F.lit(None).cast("array<double>"))
+        both = rows.unionByName(visits.select("leaf", F.lit(True).alias("is_query"), "vec_id", "embedding", "bound"))
+        return both.repartition("leaf").sortWithinPartitions("leaf", "is_query", "vec_id").mapInArrow(_search_batches(dim, k + 1, reach, shared), _FOUND)
+
+    at_home = work_table(searched(placed.select("vec_id", "leaf", F.lit(float("inf")).alias("bound"))), "home")
     bounds = at_home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
-    bound = F.when(F.col("n") >= k, F.greatest(F.lit(0.0), 2 - 2 * F.col("worst"))).otherwise(F.lit(float("inf")))
-    bounded = queries.join(bounds, queries["vec_id"] == bounds["query_id"], "left").select("vec_id", "embedding", "point", "block", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
-    visits = bounded.mapInArrow(_visits(np.array([r.leaf for r in boxes]), low, high, salts, reach), "vec_id long, embedding array<double>, block long, bound double")
-    found = at_home.unionByName(searched(visits)).dropDuplicates(["query_id", "vec_id"])
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    bound = F.when(F.col("n") > k, F.greatest(F.lit(0.0), 2 - 2 * F.col("worst"))).otherwise(F.lit(float("inf")))
+    bounded = placed.join(bounds, placed["vec_id"] == bounds["query_id"], "left").select("vec_id", "point", "leaf", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
+    visits = bounded.mapInArrow(_visit_batches(shared_boxes, reach), "vec_id long, leaf long, bound double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = at_home.unionByName(searched(visits)).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)
+    found = work_table(found.select(F.col("query_id").alias("class"), "vec_id", "score"), "found")
+    members = asked.join(queries.withColumnRenamed("vec_id", "class"), "embedding").select(F.col("vec_id").alias("query_id"), "class")
+    own = members.join(found, "class").filter("vec_id <> query_id")
+    rank = F.row_number().over(best)
+    return own.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

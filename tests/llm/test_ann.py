@@ -72,7 +72,44 @@ def test_search_meets_all_copies_at_bound_zero():
         vectors = np.concatenate([np.tile(one, (500, 1)), rng.standard_normal((77, 64))])
         ids = np.concatenate([rng.permutation(500), 1000 + np.arange(77)])
         r = ann.directions(64)
-        tree = ann.BlockTree(ids, vectors, ann._unit(vectors) @ r)
-        found = tree.search(7, one, (ann._unit(one[None, :]) @ r)[0], 5, ann.chi_square_quantile(0.99), float("inf"))
-        missed += [i for _, i in found] != [0, 1, 2, 3, 4]
+        q, found, score = ann.Leaf(ids, vectors, r).search(np.stack([one, 3 * one]), ann._unit(np.stack([one, one])) @ r, 6, ann.chi_square_quantile(0.95), np.array([np.inf, np.inf]))
+        missed += found[q == 0].tolist() != [0, 1, 2, 3, 4, 5] or found[q == 1].tolist() != [0, 1, 2, 3, 4, 5]
     assert missed == 0
+
+
+def answers(df):
+    got = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(6 if i % 3 else 9).tolist()) for i in range(200)] + [(1000, [1.0, 2.0])]
+    got = answers(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0))
+    want = {}
+    for parity in (True, False):
+        want |= {q: [i for i, _ in v] for q, v in brute([r for r in rows if (r[0] % 3 == 0) == parity and len(r[1]) > 2]).items()}
+    assert got == want and 1000 not in got
+
+
+@pytest.mark.parametrize("carried", [False, True])
+def test_leaves_are_cut_level_by_level(spark, monkeypatch, carried):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "TOP_LEAVES", 2)
+    if carried:
+        monkeypatch.setattr(ann, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(ann, "BROADCAST_LEAVES", 0)
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((30, 12)) * 3
+    rows = [(i, (centres[i % 30] + 0.3 * rng.standard_normal(12)).tolist()) for i in range(1500)]
+    got = answers(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0))
+    want = {q: {i for i, _ in v} for q, v in brute(rows).items()}
+    assert sum(len(want[q] & set(v)) for q, v in got.items()) >= 0.95 * 5 * len(want)
+
+
+def test_repeated_vec_ids_count_once_by_a_stated_order(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [-1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0]), (50, [1.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r.vec_id, round(r.score, 3)) for r in got) == [(0, 1, -1.0), (0, 2, 0.995), (0, 50, 1.0), (50, 0, 1.0), (50, 1, -1.0), (50, 2, 0.995)]
