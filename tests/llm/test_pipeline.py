@@ -23,7 +23,7 @@ def test_each_stage_against_its_own_input(spark, stages):
     ids = {k: [r.doc_id for r in v] for k, v in stages.items()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = mil_quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    good = {r.doc_id for r in stages["documents"] if model.score([mil_quality.encode_text(r.text)])[0] >= 0.5}
+    good = {r.doc_id for r in stages["documents"] if model.score([r.text])[0] >= 0.5}
     assert set(ids["quality"]) == good
     fps = {r.doc_id: simhash.fingerprint(r.text) for r in stages["quality"]}
     kept = set(ids["near_duplicates"])
