@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.functions import judgement as J
 from claimweave.functions import text as T
 
 
@@ -89,11 +91,32 @@ def last_of_each(claims: DataFrame) -> DataFrame:
     return rows.filter("nth = 1").drop("nth")
 
 
+def verbatim_piece(text: str, quote: str) -> str | None:
+    """The piece of ``text`` that a quote stands for: itself, or its words with other white space between."""
+    words, plain = quote.split(), quote.strip()
+    if not words or plain in text:
+        return plain or None
+    tokens = [m.span() for m in re.finditer(r"\S+", text)]
+    for i in range(len(tokens) - len(words) + 1):
+        (a, b), (y, z) = tokens[i], tokens[i + len(words) - 1]
+        if text[:b].endswith(words[0], a) and text.startswith(words[-1], y) and all(text[p:q] == w for (p, q), w in zip(tokens[i + 1 :], words[1:-1])):
+            return text[b - len(words[0]) : y + len(words[-1])]
+    return None
+
+
+def canonical_claim(raw: dict) -> dict:
+    """A model's claim under its canonical keys: of several keys for a field the first that isn't empty counts."""
+    value = raw.get("value_numeric")
+    named = {field: next((str(raw[k]) for k in keys if raw.get(k)), "") for field, keys in (("topic", J.TOPIC_KEYS), ("quote_span", J.QUOTE_KEYS), ("claim_text", J.CLAIM_KEYS))}
+    return named | {k: raw.get(k) or "" for k in ("stance", "speaker", "role")} | {"value_numeric": float(value) if isinstance(value, (int, float)) else None}
+
+
 def extract_with(call: Callable[[str, int], list[dict]], topics: list[str], retries: int = 2):
     """A ``mapInPandas`` function that asks a model for claims of each chunk, again while quotes fail.
 
-    ``call`` takes the chunk's text and the attempt; at most ``retries`` + 1 calls are made. Claims
-    whose quote is a verbatim part of the text are kept, of equal ones the last.
+    ``call`` takes the chunk's text and the attempt; at most ``retries`` + 1 calls are made. Claims of
+    unknown topics or without a quote don't count. Quotes are made verbatim (:func:`verbatim_piece`);
+    claims whose quote the text doesn't hold are dropped, of equal ones the last stays.
     """
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,18 +125,19 @@ def extract_with(call: Callable[[str, int], list[dict]], topics: list[str], retr
             for row in frame.itertuples():
                 kept: dict[tuple, dict] = {}
                 for attempt in range(retries + 1):
-                    asked = [c for c in call(row.text, attempt) if c.get("topic") in topics and c.get("quote_span")]
-                    good = [c for c in asked if c["quote_span"] in row.text]
+                    asked = [c for c in map(canonical_claim, call(row.text, attempt)) if c["topic"] in topics and c["quote_span"]]
+                    good = [c | {"quote_span": piece} for c in asked if (piece := verbatim_piece(row.text, c["quote_span"]))]
                     kept |= {(c["topic"], c["quote_span"]): c for c in good}
                     if len(good) == len(asked):
                         break
-                out += [{"chunk_id": row.chunk_id, "document_id": row.document_id, "attempts": attempt + 1, **{k: c.get(k) or "" for k in ("topic", "quote_span", "claim_text", "stance", "speaker", "role")}} for c in kept.values()]
-            yield pd.DataFrame(out, columns=["chunk_id", "document_id", "attempts", "topic", "quote_span", "claim_text", "stance", "speaker", "role"])
+                out += [{"chunk_id": row.chunk_id, "document_id": row.document_id, "attempts": attempt + 1} | c for c in kept.values()]
+            found = pd.DataFrame(out, columns=[c.split()[0] for c in EXTRACTED.split(", ")])
+            yield found.astype({"value_numeric": "float64"})
 
     return extract
 
 
-EXTRACTED = "chunk_id string, document_id string, attempts int, topic string, quote_span string, claim_text string, stance string, speaker string, role string"
+EXTRACTED = "chunk_id string, document_id string, attempts int, topic string, quote_span string, claim_text string, stance string, speaker string, role string, value_numeric double"
 
 
 def manifest(chunks: DataFrame) -> DataFrame:

@@ -35,18 +35,85 @@ def duplicate_keys(table: DataFrame, key: list[str]) -> DataFrame:
     return table.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _numbered(spark: SparkSession, path: str, prefix: str) -> dict[int, bool]:
+    """Numbers of the folders ``<path>/<prefix><number>``, and whether each is committed."""
+    fs, where = _files(spark, path)
+    if not fs.exists(where):
+        return {}
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    return {int(n[len(prefix) :]): fs.exists(_files(spark, f"{path}/{n}/_COMMITTED")[1]) for n in names if n.startswith(prefix)}
+
+
+def _commit(spark: SparkSession, path: str) -> None:
+    fs, mark = _files(spark, f"{path}/_COMMITTED")
+    fs.create(mark, True).close()
+
+
 def swap_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Replace a Parquet table by ``df``, which may read it: written aside, then renamed into place.
+    """Replace a table by ``df``, which may read it: a new version, committed by one empty file.
 
-    A reader sees the old files or the new ones. The old ones stay under ``<path>.old`` until the
-    next swap.
+    Versions are folders ``version-<number>`` below ``path``; nothing is renamed, so this holds on object stores
+    too. A reader (:func:`current_table`) sees the newest committed one. The one before stays for readers that
+    have begun; older and unfinished ones are deleted. There is one writer at a time.
     """
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    here, aside, before = (hadoop.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
-    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(before, True)
-    if fs.exists(here):
-        fs.rename(here, before)
-    if not fs.rename(aside, here):
-        raise OSError(f"{path}.new could not take the place of {path}")
+    known = _numbered(spark, path, "version-")
+    number = max(known, default=0) + 1
+    fresh = f"{path}/version-{number:09d}"
+    df.write.mode("overwrite").parquet(fresh)
+    _commit(spark, fresh)
+    before = max((n for n, done in known.items() if done), default=0)
+    for n in known:
+        if n != before:
+            fs, old = _files(spark, f"{path}/version-{n:09d}")
+            fs.delete(old, True)
+
+
+def current_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The newest committed version of a table; None if there is none."""
+    done = [n for n, committed in _numbered(spark, path, "version-").items() if committed]
+    if not done:
+        return None
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{path}/version-{max(done):09d}")
+
+
+def write_delta(spark: SparkSession, df: DataFrame, path: str, number: int) -> None:
+    """Add the rows of one batch to a table of deltas; a batch that is written again replaces itself."""
+    fresh = f"{path}/delta-{number:09d}"
+    df.write.mode("overwrite").parquet(fresh)
+    _commit(spark, fresh)
+
+
+def merged_deltas(spark: SparkSession, path: str, key: list[str], order: str) -> DataFrame | None:
+    """The rows of the newest base and the deltas after it: of each key the last by ``order``, then by batch."""
+    bases, deltas = ([n for n, done in _numbered(spark, path, p).items() if done] for p in ("base-", "delta-"))
+    base = max(bases, default=-1)
+    folders = [f"{path}/base-{base:09d}"] * bool(bases) + [f"{path}/delta-{n:09d}" for n in sorted(deltas) if n > base]
+    if not folders:
+        return None
+    rows = spark.read.parquet(*folders)
+    batch = F.regexp_extract(F.input_file_name(), r"/(?:base|delta)-(\d+)/", 1).cast("long")
+    columns = rows.columns
+    last = Window.partitionBy(*key).orderBy(F.desc(order), F.desc("batch_no"))
+    return rows.withColumn("batch_no", batch).withColumn("nth", F.row_number().over(last)).filter("nth = 1").select(columns)
+
+
+def compact_deltas(spark: SparkSession, path: str, key: list[str], order: str) -> None:
+    """Write base and deltas as a new base; what it replaces stays until the next compaction."""
+    bases, deltas = (_numbered(spark, path, p) for p in ("base-", "delta-"))
+    newest, base = max((n for n, done in deltas.items() if done), default=-1), max((n for n, done in bases.items() if done), default=-1)
+    if newest <= base:
+        return
+    fresh = f"{path}/base-{newest:09d}"
+    merged_deltas(spark, path, key, order).write.mode("overwrite").parquet(fresh)
+    _commit(spark, fresh)
+    for prefix, numbers in (("base-", bases), ("delta-", deltas)):
+        for n in numbers:
+            if n < base or (prefix == "delta-" and n <= base):
+                fs, old = _files(spark, f"{path}/{prefix}{n:09d}")
+                fs.delete(old, True)

@@ -303,10 +303,10 @@ def verbatim_quotes(spark, sf):
     return C.validate_quotes(_quotes(spark, sf)).select("doc_id", "valid", "quote_span")
 
 
-@query(text_sql("SELECT chunk_id, left(sha1(concat_ws('|', chunk_id, lang, left(text, 40))), 16) AS claim_id FROM chunks JOIN tdocs USING (document_id)"))
+@query(text_sql("SELECT chunk_id, left(sha1(concat_ws('|', chunk_id, lang, text)), 16) AS claim_id FROM chunks JOIN tdocs USING (document_id)"))
 def claim_ids(spark, sf):
     chunks = C.segment(A.text_blocks(spark, sf)).join(A.text_documents(spark, sf).select("document_id", "lang"), "document_id")
-    return chunks.select("chunk_id", T.claim_id(F.col("chunk_id"), F.col("lang"), F.left("text", F.lit(40))).alias("claim_id"))
+    return chunks.select("chunk_id", T.claim_id(F.col("chunk_id"), F.col("lang"), F.col("text")).alias("claim_id"))
 
 
 def _drafts(spark, sf):
@@ -330,10 +330,9 @@ def output_guard(spark, sf):
     return ST.final_answers(_drafts(spark, sf), "I could not ground an answer.").select("conv_id", "turn", "step", F.array_join("cited_ids", ",").alias("cited_ids"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda w: length(w) > 2 AND NOT list_contains(string_split('" + " ".join(T.STOPWORDS) + "', ' '), w)), ' ') AS keywords FROM conversations WHERE text IS NOT NULL AND regexp_matches(text, '^[ -~\\s]*$')")
+@query("SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda w: length(w) > 2 AND NOT list_contains(string_split('" + " ".join(T.STOPWORDS) + "', ' '), w)), ' ') AS keywords FROM conversations WHERE text IS NOT NULL")
 def query_keywords(spark, sf):
-    ascii_only = A.table(spark, sf, "conversations").filter(F.col("text").rlike(r"^[ -~\s]*$"))  # lower() of other scripts differs between engines
-    return ascii_only.select("conv_id", "turn", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
+    return A.table(spark, sf, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
 
 
 @query("SELECT doc_id, replace(replace('a/b:' || doc_id, '/', '_'), ':', '_') AS safe, doc_id || '.pdf' AS base, CASE WHEN doc_id % 2 = 0 THEN 'SYNTHETIC DEMO DATA' ELSE 'real filing' END AS tag, strftime(DATE '2024-01-01' + (doc_id % 366)::INT, '%b %-d, %Y') AS pretty FROM documents")
@@ -384,11 +383,11 @@ def transcript_turns(spark, sf):
     return C.speaker_turns(heads.unionByName(body).unionByName(banner)).select("document_id", "ordinal", "speaker", "role", "text", "page", F.get("bbox", 1).alias("y0"), F.get("bbox", 3).alias("y1"))
 
 
-@query(text_sql("SELECT claim_id, document_id, type, section_heading, paragraph_text, quote_span, doc_date FROM (SELECT left(sha1(concat_ws('|', chunk_id, lang, left(text, 40))), 16) AS claim_id, document_id, CASE WHEN source_type = 'real' THEN 'html' ELSE 'pdf' END AS type, heading AS section_heading, text AS paragraph_text, left(text, 40) AS quote_span, date AS doc_date FROM chunks JOIN tdocs USING (document_id))"))
+@query(text_sql("SELECT claim_id, document_id, type, section_heading, paragraph_text, quote_span, doc_date FROM (SELECT left(sha1(concat_ws('|', chunk_id, lang, text)), 16) AS claim_id, document_id, CASE WHEN source_type = 'real' THEN 'html' ELSE 'pdf' END AS type, heading AS section_heading, text AS paragraph_text, text AS quote_span, date AS doc_date FROM chunks JOIN tdocs USING (document_id))"))
 def citation_payloads(spark, sf):
     docs = A.text_documents(spark, sf)
     chunks = C.segment(A.text_blocks(spark, sf))
-    quote = F.left("text", F.lit(40))
+    quote = F.col("text")
     claims = chunks.join(docs.select("document_id", "lang", "date", "source_type"), "document_id").select(T.claim_id(F.col("chunk_id"), F.col("lang"), quote).alias("claim_id"), "document_id", "chunk_id", "section_id", "paragraph_index", F.col("lang").alias("topic"), F.lit("").alias("speaker"), F.lit("").alias("role"), F.lit("").alias("stance"), quote.alias("quote_span"), "date", "source_type", F.lit(None).cast("int").alias("page"), F.lit(None).cast("array<double>").alias("bbox"))
     full = docs.withColumn("period", F.lit(None).cast("string")).withColumn("source_url", F.lit(""))
     sections = chunks.select("document_id", "section_id", "heading").distinct()
@@ -445,29 +444,30 @@ def _points(spark, sf):
     return e.select("vec_id", F.col("label").cast("string").alias("ticker"), F.col("embedding").alias("vector"))
 
 
-@query(f"WITH {_EMB} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.v, q.v) DESC, e.vec_id) AS rank FROM emb e, emb q WHERE q.vec_id < 3) WHERE rank <= 10")
+@query(f"WITH {_EMB} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.v, q.v) DESC, e.vec_id) AS rank FROM emb e, emb q WHERE q.vec_id % 20 = 0) WHERE rank <= 10")
 def vector_topk(spark, sf):
     p = _points(spark, sf)
-    stated = p.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector"))  # three stated queries against all rows
+    stated = p.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector"))
     return S.vector_topk(p, stated, 10, "vec_id").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_EMB} SELECT query_id, rank, vec_id, ticker, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label::VARCHAR AS ticker, list_cosine_similarity(e.v, q.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.v, q.v) DESC, e.vec_id) AS rank FROM emb e JOIN emb q ON e.label = q.label AND q.vec_id < 20) WHERE rank <= 8")
+@query(f"WITH {_EMB} SELECT query_id, rank, vec_id, ticker, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label::VARCHAR AS ticker, list_cosine_similarity(e.v, q.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.v, q.v) DESC, e.vec_id) AS rank FROM emb e JOIN emb q ON e.label = q.label AND q.vec_id % 20 = 0) WHERE rank <= 8")
 def vector_topk_of_company(spark, sf):
     p = _points(spark, sf)
-    stated = p.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "ticker", F.col("vector").alias("q_vector"))
+    stated = p.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "ticker", F.col("vector").alias("q_vector"))
     return S.vector_topk(p, stated, 8, "vec_id").select("query_id", "rank", "vec_id", "ticker", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_EMB}, e AS (SELECT vec_id AS a, (vec_id * 7 + 1) % 400 AS b, CASE WHEN vec_id % 2 = 0 THEN 'high' ELSE 'low' END AS severity FROM emb WHERE vec_id % 3 = 0), both_ways AS (SELECT a AS id, b AS partner, severity FROM e UNION ALL SELECT b, a, severity FROM e), conflicts AS (SELECT id, string_agg(lpad(partner::VARCHAR, 8, '0') || '/' || severity, ',' ORDER BY lpad(partner::VARCHAR, 8, '0'), severity) AS c FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lpad(partner::VARCHAR, 8, '0'), severity) AS nth FROM both_ways) WHERE nth <= 5 GROUP BY id), top AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.v, q.v) DESC, lpad(e.vec_id::VARCHAR, 8, '0')) AS rank FROM emb e, emb q WHERE q.vec_id < 3) WHERE rank <= 10) SELECT query_id, rank, vec_id, round(score, 6) AS score, coalesce(c, '') AS conflicts FROM top LEFT JOIN conflicts ON id = vec_id")
+@query(f"WITH {_EMB}, e AS (SELECT vec_id AS a, (vec_id * 7 + 1) % (SELECT max(vec_id) + 1 FROM emb) AS b, CASE WHEN vec_id % 2 = 0 THEN 'high' ELSE 'low' END AS severity FROM emb), both_ways AS (SELECT a AS id, b AS partner, severity FROM e UNION ALL SELECT b, a, severity FROM e), conflicts AS (SELECT id, string_agg(lpad(partner::VARCHAR, 8, '0') || '/' || severity, ',' ORDER BY lpad(partner::VARCHAR, 8, '0'), severity) AS c FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lpad(partner::VARCHAR, 8, '0'), severity) AS nth FROM both_ways) WHERE nth <= 5 GROUP BY id), top AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.v, q.v) DESC, lpad(e.vec_id::VARCHAR, 8, '0')) AS rank FROM emb e, emb q WHERE q.vec_id % 20 = 0) WHERE rank <= 10) SELECT query_id, rank, vec_id, round(score, 6) AS score, coalesce(c, '') AS conflicts FROM top LEFT JOIN conflicts ON id = vec_id")
 def hybrid_search(spark, sf):
     name = lambda c: F.lpad(c.cast("string"), 8, "0")
     p = _points(spark, sf).withColumn("claim_id", name(F.col("vec_id")))
-    ends = p.filter("vec_id % 3 = 0").select(F.col("claim_id").alias("a_id"), name((F.col("vec_id") * 7 + 1) % 400).alias("b_id"), F.when(F.col("vec_id") % 2 == 0, "high").otherwise("low").alias("severity"))
+    n = p.agg(F.max("vec_id")).first()[0] + 1
+    ends = p.select(F.col("claim_id").alias("a_id"), name((F.col("vec_id") * 7 + 1) % n).alias("b_id"), F.when(F.col("vec_id") % 2 == 0, "high").otherwise("low").alias("severity"))
     order = Window.partitionBy("claim_id").orderBy("partner", "severity")
     first = G.undirected(ends).withColumn("nth", F.row_number().over(order)).filter("nth <= 5")
     conflicts = first.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("partner", "severity"))).alias("contradictions"))
-    stated = p.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector"))
+    stated = p.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector"))
     hits = S.with_conflicts(S.vector_topk(p, stated, 10), conflicts)
     text = F.array_join(F.transform("contradictions", lambda x: F.concat(x["partner"], F.lit("/"), x["severity"])), ",")
     return hits.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"), text.alias("conflicts"))

@@ -33,20 +33,20 @@ def point_id(claim_id: pd.Series) -> pd.Series:
     return claim_id.map(lambda c: str(uuid.uuid5(_NAMESPACE, c)))
 
 
+def _arrival(rows: DataFrame) -> Column:
+    """What decides between rows that repeat a key: the column ``arrived`` if there is one, else all their values."""
+    return F.col("arrived") if "arrived" in rows.columns else F.to_json(F.struct(*rows.columns))
+
+
 class GraphStore:
     """Tables below one path. Each write builds the merged table and swaps it into place."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, name: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
-
     def table(self, name: str) -> DataFrame:
-        if not self._exists(name):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
+        found = U.current_table(self.spark, f"{self.path}/{name}", TABLES[name])
+        return self.spark.createDataFrame([], TABLES[name]) if found is None else found
 
     def graph(self) -> Graph:
         speakers = self.table("speakers").select("speaker_id", "name", "role")
@@ -62,14 +62,14 @@ class GraphStore:
             self.put(name, self.spark.createDataFrame([], TABLES[name]))
 
     def merge_topics(self, topics: DataFrame) -> None:
-        rows = topics.select("id", "name", F.coalesce("description", F.lit("")).alias("description"), "aliases", F.lit(0).alias("seq"))
+        rows = topics.select("id", "name", F.coalesce("description", F.lit("")).alias("description"), "aliases", _arrival(topics).alias("seq"))
         self.put("topics", U.last_wins(self.table("topics"), rows, ["id"], "seq"))
 
     def merge_documents(self, docs: DataFrame) -> None:
         """Documents (the last wins), their companies (the first by document id wins) and FILED_BY."""
         companies = docs.select("ticker", F.col("company_name").alias("name"), "cik", "document_id")
         self.put("companies", U.first_wins(self.table("companies"), companies, ["ticker"], "document_id"))
-        self.put("documents", U.last_wins(self.table("documents"), docs.withColumn("seq", F.lit(0)), ["document_id"], "seq"))
+        self.put("documents", U.last_wins(self.table("documents"), docs.withColumn("seq", _arrival(docs)), ["document_id"], "seq"))
         self.put("filed_by", U.add_edges(self.table("filed_by"), docs.select("document_id", "ticker")))
 
     def merge_chunks(self, chunks: DataFrame) -> None:
@@ -91,10 +91,14 @@ class GraphStore:
             self.put(name, U.add_edges(self.table(name), rows))
 
     def index_claims(self, embed: Callable[[Column], Column] = hash_embedding) -> None:
-        """Vectors of all claims' text and quote; a claim keeps its point."""
+        """Vectors of the claims' text and quote; only claims that are new or say something else are embedded."""
         text = T.strip(F.concat_ws(" ", "claim_text", "quote_span"))
-        rows = self.table("claims").withColumn("point_id", point_id("claim_id")).withColumn("ticker", F.col("company_ticker")).withColumn("vector", embed(text)).withColumn("seq", F.lit(0))
-        self.put("claim_vectors", U.last_wins(self.table("claim_vectors"), rows, ["point_id"], "seq"))
+        held = self.table("claim_vectors")
+        claims = self.table("claims").withColumn("point_id", point_id("claim_id")).withColumn("ticker", F.col("company_ticker"))
+        same = [F.col(f"c.{c}").eqNullSafe(F.col(f"v.{c}")) for c in ("point_id", "claim_text", "quote_span")]
+        new = claims.alias("c").join(held.alias("v"), same, "left_anti").withColumn("vector", embed(text)).withColumn("seq", F.lit(0))
+        if not new.isEmpty():
+            self.put("claim_vectors", U.last_wins(held, new, ["point_id"], "seq"))
 
     def detect(self, tickers: DataFrame, call: Callable[[dict], str] | None = None, max_pairs: int = 15, now: str = "") -> None:
         """Judge the companies' candidate pairs and replace their contradictions by the confirmed ones."""
@@ -111,7 +115,7 @@ def extract_claims(chunks: DataFrame, documents: DataFrame, call: Callable[[str,
     place = chunks.select("chunk_id", "section_id", "paragraph_index")
     doc = documents.select("document_id", "date", "source_type", "doc_type", F.col("ticker").alias("company_ticker"))
     rows = raw.join(place, "chunk_id").join(doc, "document_id")
-    rows = rows.withColumn("claim_id", T.claim_id(F.col("chunk_id"), F.col("topic"), F.col("quote_span"))).withColumn("value_numeric", F.lit(None).cast("double")).withColumn("page", F.lit(None).cast("int")).withColumn("bbox", F.lit(None).cast("array<double>"))
+    rows = rows.withColumn("claim_id", T.claim_id(F.col("chunk_id"), F.col("topic"), F.col("quote_span"))).withColumn("page", F.lit(None).cast("int")).withColumn("bbox", F.lit(None).cast("array<double>"))
     return rows.withColumn("extracted_by", F.lit(by)).withColumn("extracted_at", F.lit(now)).select([c.split()[0] for c in schemas.CLAIMS.split(", ")])
 
 

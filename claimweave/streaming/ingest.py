@@ -7,25 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from claimweave.operators.upsert import last_wins, swap_table
+from claimweave.operators.upsert import write_delta
 
 
-def upsert_batch(spark: SparkSession, path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that upserts a batch into a Parquet table; a repeated batch changes nothing."""
+def upsert_batch(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that adds a batch as a delta, which costs what the batch holds.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        exists = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-        old = spark.read.parquet(path) if exists else spark.createDataFrame([], batch.schema)
-        swap_table(spark, last_wins(old, batch, key, order), path)
+    A repeated batch changes nothing. :func:`~claimweave.operators.upsert.merged_deltas` reads the table,
+    :func:`~claimweave.operators.upsert.compact_deltas` folds deltas together now and then.
+    """
+    return lambda batch, batch_id: write_delta(spark, batch, path, batch_id)
 
-    return write
 
-
-def ingest(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: list[str], order: str, files: int = 100) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, files: int = 100) -> StreamingQuery:
     """Run over the JSON files of ``source`` that no earlier run took, then stop."""
     stream = spark.readStream.schema(schema).option("multiLine", True).option("maxFilesPerTrigger", files).json(source)
-    return transform(stream).writeStream.foreachBatch(upsert_batch(spark, target, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return transform(stream).writeStream.foreachBatch(upsert_batch(spark, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def job_states(events: DataFrame) -> DataFrame:

@@ -1,7 +1,12 @@
 import json
+import threading
+from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.error import HTTPError, URLError
 
 import pytest
 
+
 from claimweave.operators.chunks import flatten_documents, segment
 from claimweave.sources import config, filings, files
 from claimweave.sources.html import BLOCK_SCHEMA, blocks_of, page_blocks
@@ -64,18 +69,76 @@ def test_config(tmp_path):
     assert env == {"K": "old", "L": "v"}
 
 
-def test_retries():
-    calls = []
-
-    def flaky():
-        calls.append(1)
-        if len(calls) < 3:
-            raise TimeoutError("timed out")
-        return "ok"
-
-    assert filings.with_retry(flaky, sleep=lambda _: None) == "ok" and len(calls) == 3
+class _Site(BaseHTTPRequestHandler):
+    """A list of filings, their bodies, and addresses that fail in stated ways; counts what was asked."""
+
+    asked: Counter = Counter()
+    wrong: list = []
+
+    def do_GET(self):
+        _Site.asked[self.path] += 1
+        if self.path.startswith("/fail/"):
+            _, _, code, times = self.path.split("/")
+            if _Site.asked[self.path] <= int(times):
+                self.send_response(int(code))
+                self.send_header("Retry-After", "3")
+                self.end_headers()
+                return
+        body = b"body of " + self.path.encode()
+        if self.path.startswith("/list/"):
+            recent = {"form": ["10-K", "10-Q", "10-K", "8-K", "10-Q", "10-Q"], "filingDate": ["2024-02-01", "2024-05-01", "2023-02-01", "2024-03-01", "2023-08-01", "2023-05-01"], "accessionNumber": [f"0-{i}" for i in range(6)], "primaryDocument": [f"d{i}.htm" for i in range(6)]}
+            body = json.dumps({"name": "N", "tickers": ["T"], "filings": {"recent": recent}}).encode()
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture(scope="module")
+def site():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_fetch_waits_as_asked_and_gives_up(site):
+    waits = []
+    assert filings.fetch(f"{site}/fail/429/2", "u", wait=waits.append).startswith(b"body") and waits == [3.0, 3.0]
+    with pytest.raises(HTTPError):
+        filings.fetch(f"{site}/fail/503/9", "u", tries=2, wait=waits.append)
+    for code in (400, 401, 403, 404):
+        with pytest.raises(HTTPError):
+            filings.fetch(f"{site}/fail/{code}/1", "u", wait=lambda _: pytest.fail("waited"))
+        assert _Site.asked[f"/fail/{code}/1"] == 1
+
+
+@pytest.mark.parametrize("error, again", [(TimeoutError(), True), (BrokenPipeError(32, "x"), True), (ConnectionResetError(104, "x"), True), (URLError(TimeoutError()), True), (ConnectionRefusedError(111, "x"), False), (ValueError("cannot generate item 500: connection"), False), (PermissionError(13, "x"), False)])
+def test_what_is_worth_another_try(error, again):
+    assert (filings.pause_after(error) is not None) == again
+
+
+def test_newest_filings_of_each_form_with_bodies(spark, site):
+    options = {"user_agent": "u", "ciks": "1, 2", "forms": "10-K:1,10-Q:2", "base_url": site + "/list/{cik}", "document_url": site + "/doc/{plain}/{name}"}
+    reader = filings.FilingsReader(options)
+    assert [p.cik for p in reader.partitions()] == ["1", "2"]
+    rows = list(reader.read(reader.partitions()[0]))
+    assert [(r[3], r[4]) for r in rows] == [("10-Q", "2024-05-01"), ("10-K", "2024-02-01"), ("10-Q", "2023-08-01")]
+    assert rows[0][7] == "body of /doc/01/d1.htm"
+    spark.dataSource.register(filings.FilingsSource)
+    got = spark.read.format("filings").options(**options).load()
+    assert got.count() == 6 and "html" in got.columns
     with pytest.raises(ValueError):
-        filings.with_retry(lambda: (_ for _ in ()).throw(ValueError("bad input")), sleep=lambda _: None)
-    with pytest.raises(ValueError, match="user_agent"):
         filings.FilingsReader({})
-    assert [p.cik for p in filings.FilingsReader({"user_agent": "u", "ciks": "1, 2"}).partitions()] == ["1", "2"]
+
+
+def test_each_document_is_fetched_once_ever(spark, site, tmp_path):
+    listed = spark.createDataFrame([(1, "a-1", "x.htm"), (1, "a-2", "y.htm"), (1, "a-2", "y.htm")], "cik long, accession string, primary_document string")
+    cache = f"file://{tmp_path}/raw"
+    for more in ([], [(2, "b-1", "z.htm")]):
+        asked = listed.unionByName(spark.createDataFrame(more, listed.schema)) if more else listed
+        got = {r.accession: r.html for r in filings.fetch_missing(asked, cache, "u", site + "/once/{accession}/{name}").collect()}
+        assert got["a-1"] == "body of /once/a-1/x.htm" and len(got) == 2 + len(more)
+    assert [_Site.asked[f"/once/{x}"] for x in ("a-1/x.htm", "a-2/y.htm", "b-1/z.htm")] == [1, 1, 1]

@@ -1,4 +1,6 @@
 import json
+import threading
+from pathlib import Path
 import time
 
 import numpy as np
@@ -51,14 +53,49 @@ def test_ingest_is_incremental_and_idempotent(spark, tmp_path):
         (source / name).write_text(json.dumps(row))
 
     def run():
-        I.ingest(spark, str(source), schema, lambda df: df, target, str(tmp_path / "cp"), ["id"], "seq").awaitTermination()
-        return {(r.id, r.v) for r in spark.read.parquet(target).collect()}
+        I.ingest(spark, str(source), schema, lambda df: df, target, str(tmp_path / "cp")).awaitTermination()
+        return {(r.id, r.v) for r in U.merged_deltas(spark, target, ["id"], "seq").collect()}
 
     put("a.json", id="a", seq=1, v="1")
     put("b.json", id="b", seq=1, v="1")
     assert run() == {("a", "1"), ("b", "1")}
     put("c.json", id="a", seq=2, v="2")
     assert run() == {("a", "2"), ("b", "1")} == run()
+    size = lambda: {p.parent.name: p.stat().st_size for p in Path(target).rglob("*.parquet")}
+    before = size()
+    put("d.json", id="c", seq=1, v="1")
+    assert run() == {("a", "2"), ("b", "1"), ("c", "1")}
+    assert {k: v for k, v in size().items() if k in before} == before  # only the new batch was written
+    again = spark.createDataFrame([("c", 1, "1")], schema)
+    U.write_delta(spark, again, target, 2)
+    assert {(r.id, r.v) for r in U.merged_deltas(spark, target, ["id"], "seq").collect()} == {("a", "2"), ("b", "1"), ("c", "1")}
+    for _ in range(2):
+        U.compact_deltas(spark, target, ["id"], "seq")
+        assert {(r.id, r.v) for r in U.merged_deltas(spark, target, ["id"], "seq").collect()} == {("a", "2"), ("b", "1"), ("c", "1")}
+    U.write_delta(spark, spark.createDataFrame([("b", 5, "5")], schema), target, 3)
+    U.compact_deltas(spark, target, ["id"], "seq")
+    assert {(r.id, r.v) for r in U.merged_deltas(spark, target, ["id"], "seq").collect()} == {("a", "2"), ("b", "5"), ("c", "1")}
+
+
+def test_readers_never_miss_a_table_during_swaps(spark, tmp_path):
+    path, failed, seen, done = f"file://{tmp_path}/t", [], set(), threading.Event()
+    U.swap_table(spark, spark.range(10), path)
+
+    def poll():
+        while not done.is_set():
+            try:
+                seen.add(U.current_table(spark, path, "id long").count())
+            except Exception as error:  # noqa: BLE001 - any failure of a reader is what this test looks for
+                failed.append(str(error))
+
+    reader = threading.Thread(target=poll)
+    reader.start()
+    for n in range(11, 16):
+        U.swap_table(spark, U.current_table(spark, path).unionByName(spark.range(1)), path)
+        assert U.current_table(spark, path).count() == n
+    done.set()
+    reader.join()
+    assert not failed and seen <= set(range(10, 16))
 
 
 def test_upserts_are_idempotent(spark):

@@ -1,5 +1,10 @@
 import json
+import random
 
+from pyspark.sql import functions as F
+
+from claimweave.functions import text as T
+from claimweave.operators import chunks as C
 from claimweave.operators import upsert as U
 from claimweave.plans.store import TABLES, GraphStore, process_pages
 from claimweave.schemas import KEYS
@@ -17,7 +22,7 @@ def pages(spark):
 
 def call(text, attempt):
     word = next((w for w in ("hold", "fall", "double") if w in text), None)
-    return [{"topic": "margin", "quote_span": text.split(",")[0], "claim_text": text, "stance": word, "speaker": "CFO", "role": "r"}] if word else []
+    return [{"topic": "margin", "quote_span": text.split(",")[0], "claim_text": text, "stance": word, "speaker": "CFO", "role": "r", "value_numeric": 5}] if word else []
 
 
 def judge(pair):
@@ -40,3 +45,42 @@ def test_processing_is_idempotent_and_keeps_keys(spark, tmp_path):
     assert bad.isEmpty() and store.table("contradictions").where("a_id >= b_id").isEmpty()
     store.reset()
     assert all(store.table(n).isEmpty() for n in TABLES)
+
+
+def test_quotes_are_repaired_and_aliases_read(spark):
+    text = "Our  gross\nmargin held at 5 percent, up."
+    answers = [
+        [{"topicId": "margin", "source_quote": " gross margin held ", "claim": "c", "value_numeric": 5}, {"topic": "margin", "span": "never said"}, {"topic": "other", "quote": "up"}, {"topic": "margin", "quote": ""}],
+        [{"topic": "margin", "quote_span": "ross margin hel", "text": "t", "stance": "s", "value_numeric": "5"}, {"topic": "margin", "quote": "still not"}],
+        [{"topic_id": "margin", "quote": "up.", "value_numeric": True}],
+    ]
+    rows = spark.createDataFrame([("k", "d", text)], "chunk_id string, document_id string, text string")
+    got = {r.quote_span: r for r in rows.mapInPandas(C.extract_with(lambda _, n: answers[n], ["margin"]), C.EXTRACTED).collect()}
+    assert set(got) == {"gross\nmargin held", "ross\nmargin hel", "up."} and all(q in text for q in got)
+    assert {r.attempts for r in got.values()} == {3} and [got[q].claim_text for q in sorted(got)] == ["c", "t", ""]
+    assert got["gross\nmargin held"].value_numeric == 5 and got["up."].value_numeric == 1 and got["ross\nmargin hel"].value_numeric is None
+    once = rows.mapInPandas(C.extract_with(lambda _, n: answers[2] if not n else 1 / 0, ["margin"]), C.EXTRACTED).collect()
+    assert [r.attempts for r in once] == [1]
+
+
+def test_python_and_column_forms_of_the_repair_agree(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        words = [rng.choice(["a", "ab", "b.", "(c", "\\d", "é"]) for _ in range(12)]
+        text = "".join(w + rng.choice([" ", "  ", "\n", "\t "]) for w in words)
+        lo = rng.randrange(10)
+        quote = rng.choice([" ", "\n"]).join(words[lo : lo + rng.randrange(1, 4)])[rng.randrange(2) :]
+        rows.append((text, quote + rng.choice(["", "", "x"])))
+    got = spark.createDataFrame(rows, "t string, q string").select("t", "q", T.verbatim_span(F.col("t"), F.col("q")).alias("v")).collect()
+    assert [C.verbatim_piece(r.t, r.q) for r in got] == [r.v for r in got]
+
+
+def test_only_new_or_changed_claims_are_embedded(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/g")
+    topics = spark.createDataFrame([("margin", "Gross margin", None, ["margin"])], "id string, name string, description string, aliases array<string>")
+    process_pages(store, pages(spark), topics, call, judge, now="2024-02-01")
+    assert {r.value_numeric for r in store.table("claims").collect()} == {5.0}
+    before = sorted(map(str, store.table("claim_vectors").collect()))
+    store.index_claims(lambda text: F.array(F.raise_error(F.concat(F.lit("embedded again: "), text)).cast("float")))
+    assert before == sorted(map(str, store.table("claim_vectors").collect()))
