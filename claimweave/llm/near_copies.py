@@ -1,10 +1,11 @@
-"""Near copies by shingles: MinHash bands propose pairs of texts, their exact Jaccard similarity decides.
+"""Near copies by shingles: SimHash with wide Golay keys proposes pairs of texts, their exact similarity decides.
 
-A text is its set of shingles of WIDTH words. Two texts of similarity s share the ROWS minima of one of
-BANDS bands with probability 1 - (1 - s^ROWS)^BANDS: all but 6 of a million pairs at 0.8, and fewer miss above.
-Equal sets are one class from the start. The members of a band's bucket are compared with the bucket's
+A text is its set of shingles of WIDTH words. The set's wide SimHash fingerprint (:func:`.simhash.wide_keys`) is
+decoded segment by segment to nearby codewords of the Golay code, whose indices make the keys by which texts
+meet. Equal sets are one class from the start. The members of a key's bucket are compared with the bucket's
 first member, then with the next 15, the next 240 and so on, as far as they are not connected yet; a bucket
-of near copies therefore costs one comparison a member, and no pair of any bucket is left out.
+of near copies therefore costs one comparison a member, and no pair of any bucket is left out. A pair goes
+on to the texts unless sizes or short fingerprints already rule out SIMILARITY.
 """
 
 from __future__ import annotations
@@ -14,25 +15,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty, work_table
 from .components import connected_components
-from .simhash import _SPACES
+from .simhash import _SPACES, wide_keys, wide_votes
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 40, 6
+#: Bits in which the short fingerprints (128 bits) may differ: at SIMILARITY 19 are expected, with a deviation of 4.
+SHORT_BITS = 48
 #: Pairs of one first member that a task verifies in a row, on average.
 STAR = 4096
-#: Shingles whose minima are taken at once.
-CHUNK = 1 << 12
+#: Texts whose keys are made at once.
+TOGETHER = 256
 
-_RNG = np.random.default_rng(20240611)
-_WORD_FACTORS = _RNG.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTORS = (_RNG.integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
-_OFFSETS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint64).astype(np.uint32)
+_WORD_FACTORS = np.random.default_rng(20240611).integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -55,26 +54,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band."""
-    x = ((shingles ^ (shingles >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(x), CHUNK):
-        least = np.minimum(least, (x[at : at + CHUNK] * _FACTORS + _OFFSETS).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), seed=i) for i, row in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+_SIGNED = "doc_id long, digest binary, n long, short array<long>, keys array<long>"
 
 
-_SIGNED = "doc_id long, digest binary, n long, bands array<long>"
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            sets = [shingle_set(t) for t in part.column("text").to_pylist()]
-            keys = np.concatenate([band_keys(s) for s in sets]) if sets else np.zeros(0, dtype=np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
-            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), digests, pa.array([len(s) for s in sets], pa.int64()), bands], names=["doc_id", "digest", "n", "bands"])
+            for at in range(0, part.num_rows, TOGETHER):
+                some = part.slice(at, TOGETHER)
+                sets = [shingle_set(t) for t in some.column("text").to_pylist()]
+                keys, short = wide_keys(np.stack([wide_votes(s) for s in sets]))
+                digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), digests, pa.array([len(s) for s in sets], pa.int64()), _lists(short), _lists(keys)], names=["doc_id", "digest", "n", "short", "keys"])
 
 
 def _pair_batches(lo: int, hi: int):
@@ -82,21 +77,23 @@ def _pair_batches(lo: int, hi: int):
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, nth = None, 0
-        # nodes, components and sizes of the members lo to hi
-        held = np.zeros((3, 16), dtype=np.int64)
+        # nodes, components, sizes and short fingerprints of the members lo to hi
+        held = np.zeros((5, 16), dtype=np.int64)
         for batch in batches:
             a, b, rows = [], [], 0
-            for key, *member in zip(*(batch.column(c).to_numpy().tolist() for c in ("key", "node", "root", "n"))):
+            for key, *member in zip(*(batch.column(c).to_numpy().tolist() for c in ("key", "node", "root", "n", "s0", "s1"))):
                 if key != held_key:
                     held_key, nth = key, 0
-                node, root, n = member
+                node, root, n, s0, s1 = member
                 at = min(nth, hi) - lo
                 if at > 0:
-                    fits = (held[1, :at] != root) & (np.minimum(held[2, :at], n) >= SIMILARITY * np.maximum(held[2, :at], n) - 1e-6)
+                    bits = np.bitwise_count((held[3, :at] ^ s0).view(np.uint64)) + np.bitwise_count((held[4, :at] ^ s1).view(np.uint64))
+                    fits = (held[1, :at] != root) & (np.minimum(held[2, :at], n) >= SIMILARITY * np.maximum(held[2, :at], n) - 1e-6) & (bits <= SHORT_BITS)
                     own = held[0, :at][fits]
-                    a.append(own.copy())
-                    b.append(np.full(len(own), node, dtype=np.int64))
-                    rows += len(own)
+                    if len(own):
+                        a.append(own.copy())
+                        b.append(np.full(len(own), node, dtype=np.int64))
+                        rows += len(own)
                 if lo <= nth < hi:
                     if nth - lo == held.shape[1]:
                         held = np.concatenate([held, np.zeros_like(held)], axis=1)
@@ -139,11 +136,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Verified links ``(a, b)`` whose components are those of all proposed pairs of SIMILARITY or more.
 
-    ``classes`` holds ``(node, n, bands)``, a row for each distinct shingle set. None if nothing is proposed.
+    ``classes`` holds ``(node, n, s0, s1, keys)``, a row for each distinct shingle set. None if nothing is proposed.
     """
-    keyed = work_table(classes.select("node", "n", F.explode("bands").alias("key")), "band_keys")
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = work_table(keyed.join(counts, "key").select("key", "node", "n", "members"), "buckets")
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    # members of a bucket side by side; most keys are one text's alone and go no further
+    grouped = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = keyed.join(grouped, "key")
+    buckets = work_table(met.join(classes.drop("keys"), "node").select("key", "node", "n", "s0", "s1", "members"), "buckets")
     biggest = buckets.agg(F.max("members")).first()[0]
     if biggest is None:
         return None
@@ -155,7 +154,7 @@ def near_copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
             rooted = open_ones.withColumn("root", F.col("node"))
         else:
             rooted = open_ones.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ordered = rooted.select("key", "node", "root", "n").repartition("key").sortWithinPartitions("key", "node")
+        ordered = rooted.select("key", "node", "root", "n", "s0", "s1").repartition("key").sortWithinPartitions("key", "node")
         pairs = work_table(ordered.mapInArrow(_pair_batches(lo, hi), "a long, b long").distinct(), "pairs")
         found = work_table(verified(pairs, texts), "links")
         links = found if links is None else links.unionByName(found)
@@ -167,16 +166,20 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """``docs`` less the near copies of documents with a smaller doc_id.
 
     Groups are the components of the pairs whose shingle sets reach SIMILARITY; null, empty and blank
-    texts are equal to each other. Of rows that repeat a doc_id one stays; rows with a null doc_id
+    texts are equal to each other. Of rows that repeat a doc_id the one with the least text stays (null
+    first), the others are lost, as there is but one document of an id; rows with a null doc_id
     stay and link nothing (nothing identifies them).
     """
     named = docs.filter("doc_id IS NOT NULL")
-    if not named.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        named = work_table(named.dropDuplicates(["doc_id"]), "named")
+    repeated = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.isEmpty():  # only the rows of those ids move
+        least = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"), *(c for c in docs.columns if c not in ("doc_id", "text"))))
+        few = named.join(repeated, "doc_id", "left_semi").withColumn("nth_", least).filter("nth_ = 1").drop("nth_")
+        named = work_table(named.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(few.select(docs.columns)), "named")
     texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     signed = work_table(texts.mapInArrow(_signature_batches, _SIGNED), "signatures")
     heads = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = signed.join(heads.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "bands")
+    classes = signed.join(heads.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", F.get("short", 0).alias("s0"), F.get("short", 1).alias("s1"), "keys")
     copies = signed.select("doc_id", "digest").join(heads.filter("copies > 1"), "digest").filter("doc_id <> node").select("doc_id")
     links = near_copy_links(classes, texts)
     if links is not None:

@@ -25,6 +25,10 @@ A key that more than ``BUCKET`` distinct fingerprints share isn't compared pairw
 keys of a finer pigeonhole (all but three of 8, then of 16 blocks of bits, exactly), by which a bucket
 cannot hold more than 2^24, then 2^12, different fingerprints; the last tier is compared in full, in
 blocks. Verified links leave a task as a spanning forest of their bucket, never as all pairs.
+
+Shingle sets of similarity 0.8 differ in some 15 % of a fingerprint's bits, more than any three of 64. For
+them (:mod:`.near_copies`) there are wide fingerprints of WIDE_SEGMENTS segments, of which each is decoded to
+several nearby codewords by its votes: :func:`wide_keys`.
 """
 
 from __future__ import annotations
@@ -153,6 +157,63 @@ def block_keys(fp: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return np.tile(np.arange(len(fp)), len(out)), np.concatenate(out)
 
 
+#: Segments of a wide fingerprint, nearby codewords of each that count, and segments that make a key.
+WIDE_SEGMENTS, NEARBY, JOINED = 18, 3, 2
+#: Bits of the short fingerprint that goes along with wide keys: 64 a word.
+SHORT_WORDS = 2
+
+
+@lru_cache(maxsize=1)
+def _codeword_signs() -> np.ndarray:
+    """The 4096 codewords as columns of signs, in the order of their indices."""
+    words = np.arange(4096, dtype=np.int64) << 11
+    rest = words.copy()
+    for bit in range(22, 10, -1):
+        rest = np.where((rest >> bit) & 1, rest ^ (GOLAY_POLY << (bit - 11)), rest)
+    return (2 * (((words | rest)[None, :] >> np.arange(23)[:, None]) & 1) - 1).astype(np.float32)
+
+
+def wide_votes(hashes: np.ndarray) -> np.ndarray:
+    """For each bit of a wide fingerprint how many more of the shingles' hashes set it than clear it.
+
+    Its sign is the fingerprint's bit, its size says how sure the bit is.
+    """
+    out = []
+    for k in range(-(-WIDE_SEGMENTS * 23 // 64)):  # further 64 bits of each shingle
+        h = (hashes ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(h), 1 << 14):
+            ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(2 * ones - len(h))
+    return np.concatenate(out)
+
+
+def wide_keys(votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and short fingerprints of rows of :func:`wide_votes`.
+
+    Each segment of 23 bits is decoded, by its bits' votes, to its NEARBY nearest codewords. Of JOINED
+    neighbouring segments all combinations of their indices are keys: near copies share one unless each
+    such group has a segment with too many errors for that. Where the similarity of shingle sets is 0.8, a segment shares
+    a codeword with probability 0.7 or more, and one of the WIDE_SEGMENTS / JOINED groups with more than 0.997.
+    """
+    n = len(votes)
+    segments = votes[:, : WIDE_SEGMENTS * 23].reshape(n * WIDE_SEGMENTS, 23).astype(np.float32)
+    near = np.empty((n * WIDE_SEGMENTS, NEARBY), dtype=np.int64)
+    for at in range(0, len(segments), 1 << 10):
+        match = segments[at : at + (1 << 10)] @ _codeword_signs()
+        for k in range(NEARBY):
+            near[at : at + len(match), k] = match.argmax(axis=1)
+            match[np.arange(len(match)), near[at : at + len(match), k]] = -np.inf
+    groups = near.reshape(n, WIDE_SEGMENTS // JOINED, JOINED, NEARBY)
+    keys = np.broadcast_to(np.arange(WIDE_SEGMENTS // JOINED, dtype=np.int64)[None, :, None], (n, WIDE_SEGMENTS // JOINED, 1))
+    for k in range(JOINED):
+        keys = ((keys[:, :, :, None] << 12) | groups[:, :, k, None, :]).reshape(n, WIDE_SEGMENTS // JOINED, -1)
+    short = np.packbits(votes[:, : 64 * SHORT_WORDS] > 0, axis=1, bitorder="little").view("<i8")
+    return keys.reshape(n, -1), short
+
+
 def _key_batches(tier: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_at_once = 1 << 14 if tier == 0 else 1 << 9

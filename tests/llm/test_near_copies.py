@@ -2,8 +2,10 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
-from claimweave.llm import near_copies
+from claimweave.llm import near_copies, simhash
+from claimweave.llm.simhash import wide_keys, wide_votes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -48,13 +50,27 @@ def test_stage_against_brute_force(spark):
     assert sorted(_kept(spark, rows)) == sorted(keep)
 
 
-def test_bands_propose_pairs_just_above_the_bound():
+@pytest.mark.parametrize("n, found", [(9, 0.985), (36, 0.985), (180, 0.99), (900, 0.99)])
+def test_wide_keys_propose_pairs_just_at_the_bound(n, found):
     rng = np.random.default_rng(2)
-    missed = 0
-    for _ in range(2000):
-        both, a, b = rng.integers(0, 1 << 63, 160, dtype=np.uint64), rng.integers(0, 1 << 63, 20, dtype=np.uint64), rng.integers(0, 1 << 63, 20, dtype=np.uint64)
-        missed += not np.any(near_copies.band_keys(np.union1d(both, a)) == near_copies.band_keys(np.union1d(both, b)))
-    assert missed <= 1  # at exactly 0.8
+    missed, far = 0, 0
+    for _ in range(500):
+        both, a, b = (rng.integers(0, 1 << 63, m, dtype=np.uint64) for m in (n * 8 // 9, n // 9, n // 9))
+        keys, short = wide_keys(np.stack([wide_votes(np.union1d(both, a)), wide_votes(np.union1d(both, b))]))
+        missed += not set(keys[0].tolist()) & set(keys[1].tolist())
+        far += np.bitwise_count((short[0] ^ short[1]).view(np.uint64)).sum() > near_copies.SHORT_BITS
+    assert missed <= 500 * (1 - found) and far == 0  # at exactly 0.8
+
+
+def test_soft_decoding_against_all_codewords():
+    rng = np.random.default_rng(3)
+    decode, _ = simhash._balls()
+    signs = simhash._codeword_signs()
+    assert all(decode[int((signs[:, i] > 0) @ (1 << np.arange(23)))] == i for i in range(0, 4096, 37))
+    x = rng.integers(0, 1 << 23, 200)
+    bits = (2 * ((x[:, None] >> np.arange(23)) & 1) - 1).astype(np.float32)
+    nearest = (bits @ signs).argmax(axis=1)
+    assert (nearest == decode[x]).all()  # equal votes: the hard decision, the one codeword within 3 bits
 
 
 def test_large_buckets_and_chains(spark):
