@@ -65,7 +65,34 @@ _PERSON = re.compile(
     rf"(?<![\w'])(?:(?P<title>{'|'.join(TITLES)})\.?\x20(?:(?P<first>{_NAME})\x20)?(?P<last>{_NAME})|(?P<given>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\x20(?P<family>{_NAME}))(?!\w)"
 )
 _HAS_NAME = re.compile("|".join([rf"{t}\.? " for t in TITLES] + [f"{n} " for n in _GENDER]))
-_MAY_HOLD = re.compile(r"[@0-9]|AKIA|(?i:token|secret|passw|key)")
+# Words after which a capitalised given and family name stand, whatever they are.
+CUES = ["Contact", "contact", "Dear", "Attn:", "Attention:", "Name:", "name:", "name is", "Name is", "Regards,", "Sincerely,", "Signed:", "signed by", "Signed by", "Patient:", "Employee:", "Customer:"]
+#: One or more full names after a cue, joined by "and", "or", "&" or commas.
+_CUED = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, CUES))})\s+(?P<names>{_NAME}\x20{_NAME}(?:(?:,\x20|\x20(?:and|or|&)\x20){_NAME}\x20{_NAME})*)(?!\w)")
+_FULL = re.compile(rf"(?P<given>{_NAME})\x20(?P<family>{_NAME})")
+# Words that announce a birth date or a passport, and those that end or begin the name of a street.
+_BORN = ["born", "birth", "dob", "geboren", "geburt", "née", "né le", "nacid", "naissance"]
+STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Court Way Place Square".split()
+STREETS_BEFORE = "rue avenue boulevard place calle plaza avenida".split()
+STREETS_WITHIN = "straße strasse weg platz allee gasse".split()
+_BIRTH = re.compile(rf"(?i:(?<!\w)(?:date\x20of\x20birth|d\.o\.b\.|{'|'.join(_BORN)})[^\d\n]{{0,24}}?)(?<!\d)(?P<value>\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}(?P<mark>[./-])\d{{1,2}}(?P=mark)\d{{4}})(?![\d-])")
+_PASSPORT = re.compile(r"(?i:(?<!\w)(?:passport|reisepass|passeport|pasaporte)(?:\s+(?:no\.?|nr\.?|number|#|n°))?\s*[:=]?\s*)(?P<value>[A-Z]{0,2}\d{6,9})(?![A-Za-z0-9])")
+_ADDRESS = re.compile(
+    rf"(?<![\w.,-])(?:\d{{1,5}}[a-z]?\x20(?:{_NAME}\x20){{1,3}}(?:{'|'.join(STREETS)})|\d{{1,5}},?\x20(?:{'|'.join(STREETS_BEFORE)})\x20(?:(?:de\x20la|du|des|de)\x20)?{_NAME}(?:\x20{_NAME})?|{_UP}{_LOW}*(?:{'|'.join(STREETS_WITHIN)})\x20\d{{1,4}}[a-z]?)(?!\w)"
+)
+#: Words near a number that say it is a card's though its check sum is wrong.
+_CARD_WORDS = re.compile(r"(?i:card|visa|mastercard|maestro|amex|karte|carte|tarjeta)\W{0,3}(?:(?:no|nr|number|num|#)\W{0,3})?\Z")
+_MARKED = re.compile("[@0-9]")
+
+
+def _may_hold(text: str) -> bool:
+    """Whether any pattern but those of names can match: quick searches for what each of them needs."""
+    if _MARKED.search(text) or "AKIA" in text:
+        return True
+    if "=" not in text and ":" not in text:
+        return False
+    low = text.lower()
+    return any(word in low for word in ("token", "secret", "passw", "key"))
 
 
 def _script(name: str) -> str:
@@ -109,9 +136,9 @@ def _phones(text: str) -> list[tuple[int, int]]:
 
 
 def _cards(text: str, taken: list[tuple[int, int]], doubtful: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Runs of 13 to 19 digits, 16 of them or with a right check sum, outside ``taken`` places.
+    """Runs of 13 to 19 digits with a right check sum, or 16 that a word calls a card, outside ``taken`` places.
 
-    At ``doubtful`` places, which look like an IBAN, only a right check sum counts. A card is a whole run or groups of it as cards are printed; a right check sum goes first.
+    At ``doubtful`` places, which look like an IBAN, only a right check sum counts. A card is groups of a run as cards are printed, or after such a word any; a right check sum goes first.
     """
     for m in _RUN.finditer(text):
         a, b = m.span()
@@ -136,8 +163,9 @@ def _cards(text: str, taken: list[tuple[int, int]], doubtful: list[tuple[int, in
                         continue
                     shape, whole = tuple(sizes[i : k + 1]), k - i + 1 == len(groups)
                     right = _luhn("".join(text[x:y] for x, y in groups[i : k + 1]))
-                    sixteen = n == 16 and not any(x < groups[k][1] and y > groups[i][0] for x, y in doubtful)
-                    if right and (whole or shape in _CARD_GROUPS or min(shape) >= 4) or sixteen and (whole or shape in _CARD_GROUPS):
+                    sixteen = n == 16 and not any(x < groups[k][1] and y > groups[i][0] for x, y in doubtful) and _CARD_WORDS.search(text[max(0, groups[i][0] - 32) : groups[i][0]])
+                    called = sixteen and (whole or shape in _CARD_GROUPS)
+                    if called or right and (shape in _CARD_GROUPS or _CARD_WORDS.search(text[max(0, groups[i][0] - 32) : groups[i][0]])):
                         found.append((shape not in _CARD_GROUPS, not right, groups[i][0], groups[k][1]))
             # printed forms with a right sum, other runs with one, then 16 digits without
             yield from (f[2:] for f in sorted(found, key=lambda f: (f[1], f[0], f[2], -f[3])))
@@ -149,7 +177,7 @@ def _spans(text: str) -> Iterator[tuple[int, int, str, str]]:
     Candidates are checked first; of those that overlap the kind searched earlier stays, so that exact
     shapes go before runs of digits.
     """
-    if _MAY_HOLD.search(text):
+    if _may_hold(text):
         taken: list[tuple[int, int, str, str]] = []
 
         def add(a: int, b: int, kind: str, value: str) -> None:
@@ -170,29 +198,58 @@ def _spans(text: str) -> Iterator[tuple[int, int, str, str]]:
         for a, b in _phones(text):
             digits = re.sub(r"\D", "", text[a:b])
             add(a, b, "phone", digits[1:] if len(digits) == 11 and digits[0] == "1" else digits)
+        low = text.lower()
+        if any(word in low for word in _BORN) or "d.o.b" in low:
+            for m in _BIRTH.finditer(text):
+                add(*m.span("value"), "birth", m.group("value"))
+        if "passport" in low or "reisepass" in low or "passeport" in low or "pasaporte" in low:
+            for m in _PASSPORT.finditer(text):
+                add(*m.span("value"), "passport", m.group("value"))
+        for m in _ADDRESS.finditer(text):
+            add(*m.span(), "address", m.group().lower())
         for a, b in _cards(text, [t[:2] for t in taken], [m.span(1) for m in _IBAN.finditer(text)]):
             add(a, b, "card", re.sub(r"\D", "", text[a:b]))
         yield from taken
+    yield from _names(text)
+
+
+def _name_kind(name: str, given: bool, gender: str = "") -> str:
+    """A common given name is one wherever it stands, so that a name has one surrogate in each of its places."""
+    known = _GENDER.get(name)
+    if known or given:
+        return f"given-{_script(name)}-{known or gender or 'f' * name.endswith(('a', 'α', 'а')) or 'm'}"
+    return f"family-{_script(name)}"
+
+
+def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Names after a title, a common given name or a cue, and the same names elsewhere in the text."""
+    known: dict[str, str] = {}
+    held: set[int] = set()
+
+    def place(m: re.Match, part: str, given: bool, gender: str = "", shift: int = 0) -> Iterator[tuple[int, int, str, str]]:
+        name = m.group(part)
+        if name and m.start(part) + shift not in held:
+            kind = known.setdefault(name, _name_kind(name, given, gender))
+            held.add(m.start(part) + shift)
+            yield m.start(part) + shift, m.end(part) + shift, kind, name.lower()
+
     if _HAS_NAME.search(text):
-        known: dict[str, str] = {}
-        taken: list[tuple[int, int, str, str]] = []
         for m in _PERSON.finditer(text):
             gender = TITLES.get(m.group("title") or "", "")
-            for part in ("first", "given"):
-                if m.group(part):
-                    gender = _GENDER.get(m.group(part)) or gender or "f" * m.group(part).endswith(("a", "α", "а")) or "m"
-                    taken.append((*m.span(part), f"given-{_script(m.group(part))}-{gender}", m.group(part).lower()))
-                    known.setdefault(m.group(part), taken[-1][2])
-            for part in ("last", "family"):
-                if m.group(part):
-                    taken.append((*m.span(part), f"family-{_script(m.group(part))}", m.group(part).lower()))
-                    known.setdefault(m.group(part), taken[-1][2])
-        yield from taken
-        if known:  # the same person later in the text, by one name alone
-            held = {s for s, *_ in taken}
-            for m in re.finditer(rf"(?<![\w'])(?:{'|'.join(map(re.escape, known))})(?!\w)", text):
-                if m.start() not in held:
-                    yield *m.span(), known[m.group()], m.group().lower()
+            yield from place(m, "first", True, gender)
+            yield from place(m, "given", True, gender)
+            yield from place(m, "last", False)
+            yield from place(m, "family", False)
+    if any(cue in text for cue in CUES):
+        for m in _CUED.finditer(text):
+            for full in _FULL.finditer(m.group("names")):
+                if full.group("given") not in TITLES:
+                    yield from place(full, "given", True, "", m.start("names"))
+                    yield from place(full, "family", False, "", m.start("names"))
+    if known:  # the same person later in the text, by one name alone
+        for m in re.finditer(rf"(?<![\w'])(?:{'|'.join(map(re.escape, known))})(?!\w)", text):
+            if m.start() not in held:
+                yield *m.span(), known[m.group()], m.group().lower()
 
 
 def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -242,6 +299,20 @@ def _like(value: str, stream: _Stream) -> str:
     return "".join(str(stream.below(10)) if c.isdigit() else letters[stream.below(len(letters))] if c.islower() else letters[stream.below(len(letters))].upper() if c.isupper() else c for c in value)
 
 
+_STREET_WORDS = {w.lower() for w in STREETS + STREETS_BEFORE} | {"de", "la", "du", "des"}
+
+
+def _street_word(word: str, stream: _Stream, attempt: int) -> str:
+    """Digits for digits and an invented name for a name; what kind of street it is stays."""
+    if word[:1].isdigit():
+        return str(1 + stream.below(9)) + "".join(str(stream.below(10)) if c.isdigit() else c for c in word[1:])
+    if word in _STREET_WORDS:
+        return word
+    end = next((e for e in STREETS_WITHIN if word.endswith(e)), "")
+    syllables = _SYLLABLES[_script(word)]
+    return "".join(syllables[stream.below(len(syllables))] for _ in range(min(8, 2 + attempt // 4))) + (end or syllables[stream.below(len(syllables))])
+
+
 def _surrogate(kind: str, value: str, stream: _Stream, attempt: int, key: bytes) -> str:
     if kind == "email":
         local, _, domain = value.partition("@")
@@ -273,6 +344,12 @@ def _surrogate(kind: str, value: str, stream: _Stream, attempt: int, key: bytes)
         body = value[0] + "".join(str(stream.below(10)) for _ in value[1:-1])
         check = next(d for d in "0123456789" if _luhn(body + d))
         return body + (check if _luhn(value) else str((int(check) + 1 + stream.below(9)) % 10))
+    if kind == "passport":
+        return _like(value, stream)
+    if kind == "birth":  # days and months from 1 to 12, so that the date is one in any order
+        return re.sub(r"\d+", lambda m: str(1930 + stream.below(80)) if len(m.group()) == 4 else f"{1 + stream.below(12):0{len(m.group())}d}"[-2:], value)
+    if kind == "address":
+        return " ".join(_street_word(w, stream, attempt) for w in value.split(" "))
     if kind in ("phone", "ssn"):
         return str(2 + stream.below(7)) + "".join(str(stream.below(10)) for _ in value[1:])
     sort, script, *gender = kind.split("-")
@@ -296,6 +373,8 @@ def render(raw: str, kind: str, made: str) -> str:
         return "".join(m.upper() if o.isupper() else m for o, m in zip(raw, made)) if same else made.upper() if raw.isupper() else made
     if kind.startswith(("given", "family")):
         return "-".join(p[:1].upper() + p[1:] for p in made.split("-"))
+    if kind == "address":
+        return " ".join(m[:1].upper() + m[1:] if o[:1].isupper() else m for o, m in zip(raw.split(" "), made.split(" ")))
     return made
 
 
@@ -351,6 +430,10 @@ def value_format(kind: str, value: str) -> str:
         return f"{value[0]}{len(value)}{_luhn(value)}"
     if kind == "secret":
         return re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "0", value)))
+    if kind in ("birth", "passport"):
+        return re.sub(r"\d", "0", value)
+    if kind == "address":
+        return re.sub(r"\d", "0", " ".join(w if w in _STREET_WORDS or w[:1].isdigit() else "x" + next((e for e in STREETS_WITHIN if w.endswith(e)), "") for w in value.split(" ")))
     return str(len(value)) if kind in ("phone", "ssn") else ""
 
 
@@ -423,7 +506,7 @@ def exceptions(distinct: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     return drawn.select("kind", "value", "attempt", F.lit(None).cast("string").alias("made")).unionByName(swapped.select("kind", "value", F.lit(MAX_ATTEMPTS).alias("attempt"), "made"))
 
 
-_COUNTED = ("email", "phone", "ipv4", "card", "ssn", "iban", "secret", "name")
+_COUNTED = ("email", "phone", "ipv4", "card", "ssn", "iban", "secret", "birth", "passport", "address", "name")
 
 
 def _replace_batches(attempts, key: bytes, keep: list[str], with_map: bool):
