@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty, work_table
 from .components import connected_components
-from .simhash import _SPACES, wide_keys, wide_votes
+from .simhash import _SPACES, SHORT_WORDS, wide_keys, wide_votes
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Bits in which the short fingerprints (128 bits) may differ: at SIMILARITY 19 are expected, with a deviation of 4.
-SHORT_BITS = 48
+#: Bits in which the short fingerprints (384 bits) may differ: at SIMILARITY 58 are expected, with a deviation of 7.
+SHORT_BITS = 92
 #: Pairs of one first member that a task verifies in a row, on average.
 STAR = 4096
 #: Texts whose keys are made at once.
@@ -78,16 +78,17 @@ def _pair_batches(lo: int, hi: int):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, nth = None, 0
         # nodes, components, sizes and short fingerprints of the members lo to hi
-        held = np.zeros((5, 16), dtype=np.int64)
+        held, prints = np.zeros((3, 16), dtype=np.int64), np.zeros((16, SHORT_WORDS), dtype=np.uint64)
         for batch in batches:
             a, b, rows = [], [], 0
-            for key, *member in zip(*(batch.column(c).to_numpy().tolist() for c in ("key", "node", "root", "n", "s0", "s1"))):
+            shorts = batch.column("short").flatten().to_numpy().view(np.uint64).reshape(-1, SHORT_WORDS)
+            for i, (key, *member) in enumerate(zip(*(batch.column(c).to_numpy().tolist() for c in ("key", "node", "root", "n")))):
                 if key != held_key:
                     held_key, nth = key, 0
-                node, root, n, s0, s1 = member
+                node, root, n = member
                 at = min(nth, hi) - lo
                 if at > 0:
-                    bits = np.bitwise_count((held[3, :at] ^ s0).view(np.uint64)) + np.bitwise_count((held[4, :at] ^ s1).view(np.uint64))
+                    bits = np.bitwise_count(prints[:at] ^ shorts[i]).sum(axis=1)
                     fits = (held[1, :at] != root) & (np.minimum(held[2, :at], n) >= SIMILARITY * np.maximum(held[2, :at], n) - 1e-6) & (bits <= SHORT_BITS)
                     own = held[0, :at][fits]
                     if len(own):
@@ -96,8 +97,8 @@ def _pair_batches(lo: int, hi: int):
                         rows += len(own)
                 if lo <= nth < hi:
                     if nth - lo == held.shape[1]:
-                        held = np.concatenate([held, np.zeros_like(held)], axis=1)
-                    held[:, nth - lo] = member
+                        held, prints = np.concatenate([held, np.zeros_like(held)], axis=1), np.concatenate([prints, np.zeros_like(prints)])
+                    held[:, nth - lo], prints[nth - lo] = member, shorts[i]
                 nth += 1
                 if rows >= 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -136,13 +137,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Verified links ``(a, b)`` whose components are those of all proposed pairs of SIMILARITY or more.
 
-    ``classes`` holds ``(node, n, s0, s1, keys)``, a row for each distinct shingle set. None if nothing is proposed.
+    ``classes`` holds ``(node, n, short, keys)``, a row for each distinct shingle set. None if nothing is proposed.
     """
     keyed = classes.select("node", F.explode("keys").alias("key"))
     # members of a bucket side by side; most keys are one text's alone and go no further
     grouped = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = keyed.join(grouped, "key")
-    buckets = work_table(met.join(classes.drop("keys"), "node").select("key", "node", "n", "s0", "s1", "members"), "buckets")
+    buckets = work_table(met.join(classes.drop("keys"), "node").select("key", "node", "n", "short", "members"), "buckets")
     biggest = buckets.agg(F.max("members")).first()[0]
     if biggest is None:
         return None
@@ -154,7 +155,7 @@ def near_copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
             rooted = open_ones.withColumn("root", F.col("node"))
         else:
             rooted = open_ones.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ordered = rooted.select("key", "node", "root", "n", "s0", "s1").repartition("key").sortWithinPartitions("key", "node")
+        ordered = rooted.select("key", "node", "root", "n", "short").repartition("key").sortWithinPartitions("key", "node")
         pairs = work_table(ordered.mapInArrow(_pair_batches(lo, hi), "a long, b long").distinct(), "pairs")
         found = work_table(verified(pairs, texts), "links")
         links = found if links is None else links.unionByName(found)
@@ -179,7 +180,7 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     signed = work_table(texts.mapInArrow(_signature_batches, _SIGNED), "signatures")
     heads = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = signed.join(heads.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", F.get("short", 0).alias("s0"), F.get("short", 1).alias("s1"), "keys")
+    classes = signed.join(heads.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "short", "keys")
     copies = signed.select("doc_id", "digest").join(heads.filter("copies > 1"), "digest").filter("doc_id <> node").select("doc_id")
     links = near_copy_links(classes, texts)
     if links is not None:

@@ -160,7 +160,7 @@ def block_keys(fp: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 #: Segments of a wide fingerprint, nearby codewords of each that count, and segments that make a key.
 WIDE_SEGMENTS, NEARBY, JOINED = 18, 3, 2
 #: Bits of the short fingerprint that goes along with wide keys: 64 a word.
-SHORT_WORDS = 2
+SHORT_WORDS = 6
 
 
 @lru_cache(maxsize=1)
