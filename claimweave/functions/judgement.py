@@ -9,7 +9,7 @@ from claimweave.schemas import JUDGMENT
 
 # Fixed values, from weakest to strongest.
 SEVERITIES = ["none", "low", "medium", "high"]
-#: Keys under which models give the same thing, best first.
+#: Keys under which models give the same thing, best first.
 TOPIC_KEYS = ["topic", "topic_id", "topicId", "topic_name"]
 QUOTE_KEYS = ["quote_span", "quote", "span", "source_quote"]
 CLAIM_KEYS = ["claim_text", "claim", "text"]

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from claimweave.functions.vectors import cosine
 
 
-#: Stated queries that are broadcast at most.
+#: Stated queries, or rows of a form's limits, that are broadcast at most.
 BROADCAST_QUERIES = 10_000
 
 
+def few_broadcast(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it has at most BROADCAST_QUERIES rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else df
+
+
 def vector_topk(points: DataFrame, queries: DataFrame, k: int = 10, key: str = "claim_id") -> DataFrame:
     """The ``k`` points nearest to each query ``(query_id, q_vector[, ticker])`` by cosine.
 
@@ -22,8 +27,7 @@ def vector_topk(points: DataFrame, queries: DataFrame, k: int = 10, key: str = "
     if "ticker" in queries.columns:
         pairs = points.join(queries, "ticker")
     else:
-        few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-        pairs = points.crossJoin(F.broadcast(queries) if few else queries)
+        pairs = points.crossJoin(few_broadcast(queries))
     scored = pairs.withColumn("score", cosine(F.col("vector"), F.col("q_vector"))).filter("score IS NOT NULL")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.drop("q_vector", "vector").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -43,7 +47,7 @@ def search_score(ticker: Column, name: Column, query: Column) -> Column:
 
 def company_search(universe: DataFrame, queries: DataFrame, processed: DataFrame, limit: int = 15) -> DataFrame:
     """The best companies ``(pos, ticker, name, cik)`` for each query ``(query)``, ``processed`` or not."""
-    scored = universe.crossJoin(F.broadcast(queries)).withColumn("score", search_score(F.col("ticker"), F.col("name"), F.col("query"))).filter("score IS NOT NULL")
+    scored = universe.crossJoin(few_broadcast(queries)).withColumn("score", search_score(F.col("ticker"), F.col("name"), F.col("query"))).filter("score IS NOT NULL")
     order = Window.partitionBy("query").orderBy("score", F.length("ticker"), "pos")
     top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return flag_processed(top, processed).select("query", "rank", "ticker", "name", "cik", "score", "processed")
@@ -76,4 +80,4 @@ def latest_filings(filings: DataFrame, limits: DataFrame) -> DataFrame:
     """The newest filings ``(ticker, form, date, accession)`` of each company, as many as the form's limit."""
     order = Window.partitionBy("ticker", "form").orderBy(F.desc("date"), F.desc("accession"))
     ranked = filings.withColumn("nth", F.row_number().over(order))
-    return ranked.join(F.broadcast(limits.select("form", "limit")), "form").filter(F.col("nth") <= F.col("limit")).drop("limit")
+    return ranked.join(few_broadcast(limits.select("form", "limit")), "form").filter(F.col("nth") <= F.col("limit")).drop("limit")

@@ -5,9 +5,13 @@ A :class:`CompanyTools` is bound to one ticker when it is made; no call takes an
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,39 @@ from claimweave.operators.stateful import CATEGORIES, accept
 NO_HITS = "No matching claims found."
 
 
+class Page(list):
+    """Rows of a read; ``more`` says whether rows follow, which ``after`` of the next call skips to."""
+
+    def __init__(self, rows: list[Row], size: int, after: int):
+        super().__init__(rows[:size])
+        self.more, self.next = len(rows) > size, after + min(len(rows), size)
+
+
+def within(spark: SparkSession, seconds: float, work: Callable[[], Any]) -> Any:
+    """What ``work`` returns; after ``seconds`` its Spark jobs are cancelled and TimeoutError is raised."""
+    tag, late = f"turn-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        out = work()
+    except Exception as error:
+        if late.is_set():
+            raise TimeoutError(f"stopped after {seconds} s") from error
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+    if late.is_set():
+        raise TimeoutError(f"stopped after {seconds} s")
+    return out
+
+
 def format_hits(rows: list[Row]) -> str:
     """Search hits as lines for a model."""
     tag = {True: "SYNTHETIC DEMO DATA", False: "real filing"}
@@ -40,17 +77,20 @@ class CompanyTools:
     def _own(self, df: DataFrame) -> DataFrame:
         return df.filter(F.col("ticker") == self.ticker)
 
-    def list_topics(self) -> list[Row]:
-        return self._own(G.topic_counts(self.graph)).limit(self.page).collect()
+    def _page(self, df: DataFrame, after: int) -> Page:
+        return Page((df.offset(after) if after else df).limit(self.page + 1).collect(), self.page, after)
+
+    def list_topics(self, after: int = 0) -> Page:
+        return self._page(self._own(G.topic_counts(self.graph)), after)
 
-    def get_claim_timeline(self, topic: str) -> list[Row]:
-        return self._own(G.claim_timeline(self.graph)).filter(F.col("topic") == topic).limit(self.page).collect()
+    def get_claim_timeline(self, topic: str, after: int = 0) -> Page:
+        return self._page(self._own(G.claim_timeline(self.graph)).filter(F.col("topic") == topic), after)
 
-    def get_contradictions(self, min_severity: str = "low") -> list[Row]:
-        return self._own(G.contradictions(self.graph, J.severities_at_least(min_severity))).limit(self.page).collect()
+    def get_contradictions(self, min_severity: str = "low", after: int = 0) -> Page:
+        return self._page(self._own(G.contradictions(self.graph, J.severities_at_least(min_severity))), after)
 
-    def list_speakers(self) -> list[Row]:
-        return self._own(G.speaker_counts(self.graph)).limit(self.page).collect()
+    def list_speakers(self, after: int = 0) -> Page:
+        return self._page(self._own(G.speaker_counts(self.graph)), after)
 
     def owns(self, claim_id: str) -> bool:
         return not self._own(G.claims_of_companies(self.graph)).filter(F.col("claim_id") == claim_id).isEmpty()
@@ -63,7 +103,7 @@ class CompanyTools:
             spark = self.vectors.sparkSession
             asked = spark.createDataFrame([(0, self.ticker, self.embed(query))], "query_id int, ticker string, q_vector array<float>")
             return S.vector_topk(self.vectors, asked, limit).orderBy("rank").collect(), False
-        except Exception:  # noqa: BLE001 - whatever keeps the index from answering, keywords still work
+        except (LookupError, OSError, PySparkException):  # no index, or one that doesn't answer: keywords still work
             terms = self.graph.claims.sparkSession.range(1).select(T.keywords(F.lit(query)).alias("k")).first().k
             return self._own(G.keyword_search(self.graph, terms, limit)).orderBy("nth").collect(), True
 

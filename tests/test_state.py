@@ -1,9 +1,11 @@
 import json
 import threading
-from pathlib import Path
 import time
+from pathlib import Path
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from claimweave.operators import stateful as ST
 from claimweave.operators import upsert as U
@@ -134,6 +136,32 @@ def test_company_tools_and_chat(spark, sf):
     assert next(service.answer_turn(tools, "buy?", lambda q: "INVESTMENT_ADVICE", lambda q, h: ""))[0] == "refused"
 
 
+def test_pages_say_whether_more_follows(spark, sf):
+    g = A.graph(spark, sf)
+    whole = service.CompanyTools(g, "7", page=10_000).list_speakers()
+    small = service.CompanyTools(g, "7", page=2)
+    got, after = [], 0
+    while True:
+        page = small.list_speakers(after)
+        got += page
+        if not page.more:
+            break
+        after = page.next
+    assert got == list(whole) and not whole.more and len(got) > 2
+
+
+def test_a_turn_that_takes_too_long_loses_its_jobs(spark):
+    assert service.within(spark, 60, lambda: spark.range(10).count()) == 10
+    slow = spark.range(4).select(F.udf(lambda i: __import__("time").sleep(30) or i, "long")("id").alias("x"))
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):
+        service.within(spark, 2, slow.collect)
+    assert time.monotonic() - began < 20
+    with pytest.raises(ZeroDivisionError):
+        service.within(spark, 60, lambda: 1 / 0)
+    assert spark.range(3).count() == 3
+
+
 def test_sessions():
     s = service.Sessions()
     first, session = s.get_or_create(None, "A")
