@@ -2,10 +2,11 @@
 
 A text is its set of shingles of WIDTH words. The set's wide SimHash fingerprint (:func:`.simhash.wide_keys`) is
 decoded segment by segment to nearby codewords of the Golay code, whose indices make the keys by which texts
-meet. Equal sets are one class from the start. The members of a key's bucket are compared with the bucket's
+meet. Equal sets are one class from the start. Members of a key's bucket whose short fingerprint is near no
+other's there go no further: in a large corpus most meet by chance. The others are compared with the bucket's
 first member, then with the next 15, the next 240 and so on, as far as they are not connected yet; a bucket
 of near copies therefore costs one comparison a member, and no pair of any bucket is left out. A pair goes
-on to the texts unless sizes or short fingerprints already rule out SIMILARITY.
+on to the texts unless sizes or sketched votes already rule out SIMILARITY.
 """
 
 from __future__ import annotations
@@ -20,12 +21,18 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty, work_table
 from .components import connected_components
-from .simhash import _SPACES, SHORT_WORDS, wide_keys, wide_votes
+from .simhash import _SPACES, SHORT_WORDS, sketch_units, sketches, wide_keys, wide_votes
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Bits in which the short fingerprints (384 bits) may differ: at SIMILARITY 58 are expected, with a deviation of 7.
-SHORT_BITS = 92
+#: Bits in which the short fingerprints (128 bits) may differ: at SIMILARITY 19 are expected, with a deviation of 4.
+SHORT_BITS = 40
+#: Cosine that the sketched votes reach: at SIMILARITY 0.874 is expected, with a deviation of 0.010.
+COSINE = 0.833
+#: Members of a bucket up to which those near no other are sought; all members of larger ones go on.
+CROWD = 64
+#: Members of a bucket against which a task holds all behind them, at most.
+HELD = 4096
 #: Pairs of one first member that a task verifies in a row, on average.
 STAR = 4096
 #: Texts whose keys are made at once.
@@ -54,7 +61,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-_SIGNED = "doc_id long, digest binary, n long, short array<long>, keys array<long>"
+_SIGNED = "doc_id long, digest binary, n long, short array<long>, sketch binary, keys array<long>"
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -67,9 +74,60 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             for at in range(0, part.num_rows, TOGETHER):
                 some = part.slice(at, TOGETHER)
                 sets = [shingle_set(t) for t in some.column("text").to_pylist()]
-                keys, short = wide_keys(np.stack([wide_votes(s) for s in sets]))
+                votes = np.stack([wide_votes(s) for s in sets])
+                keys, short = wide_keys(votes)
+                drawn = pa.array([row.tobytes() for row in sketches(votes)], pa.binary())
                 digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), digests, pa.array([len(s) for s in sets], pa.int64()), _lists(short), _lists(keys)], names=["doc_id", "digest", "n", "short", "keys"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), digests, pa.array([len(s) for s in sets], pa.int64()), _lists(short), drawn, _lists(keys)], names=["doc_id", "digest", "n", "short", "sketch", "keys"])
+
+
+def _near_some(key: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key: whether a row's short fingerprint is near another's of its key, and how many of a key are.
+
+    In buckets beyond CROWD all are, and the number is 0, as such a bucket may go on in the next rows.
+    """
+    starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+    sizes = np.diff(np.append(starts, len(key)))
+    crowd = np.repeat(sizes > CROWD, sizes)
+    near, at, step = crowd.copy(), np.nonzero(~crowd)[0], 1
+    while len(at):
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        met = at[np.bitwise_count(short[at] ^ short[at + step]).sum(axis=1) <= SHORT_BITS]
+        near[met] = near[met + step] = True
+        step += 1
+    return near, np.where(crowd, 0, np.repeat(np.add.reduceat(near.astype(np.int64), starts), sizes))
+
+
+def _meeting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; a bucket's members at a batch's end wait for the next batch."""
+    names = ["key", "node", *(f"s{k}" for k in range(SHORT_WORDS))]
+    held, crowd = np.zeros((0, len(names)), dtype=np.int64), None
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        near, members = _near_some(rows[:, 0], rows[:, 2:].view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(rows[near, 0]), pa.array(rows[near, 1]), pa.array(members[near])], names=["key", "node", "members"])
+
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+        if crowd is not None:  # the rest of a bucket that has gone on already
+            n = int(np.argmin(rows[:, 0] == crowd)) if (rows[:, 0] != crowd).any() else len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:n, 0]), pa.array(rows[:n, 1]), pa.array(np.zeros(n, dtype=np.int64))], names=["key", "node", "members"])
+            rows = rows[n:]
+            if not len(rows):
+                continue
+            crowd = None
+        rows = np.ascontiguousarray(np.concatenate([held, rows]))
+        if not len(rows):
+            continue
+        last = int(np.argmax(rows[:, 0] == rows[-1, 0]))
+        if len(rows) - last > CROWD:
+            last, crowd = len(rows), rows[-1, 0]
+        if last:
+            yield out(rows[:last])
+        held = rows[last:]
+    if len(held):
+        yield out(np.ascontiguousarray(held))
 
 
 def _pair_batches(lo: int, hi: int):
@@ -77,28 +135,31 @@ def _pair_batches(lo: int, hi: int):
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, nth = None, 0
-        # nodes, components, sizes and short fingerprints of the members lo to hi
-        held, prints = np.zeros((3, 16), dtype=np.int64), np.zeros((16, SHORT_WORDS), dtype=np.uint64)
+        # nodes, components and sizes of the members lo to hi, and their sketched votes
+        held, votes = np.zeros((3, 16), dtype=np.int64), None
         for batch in batches:
             a, b, rows = [], [], 0
-            shorts = batch.column("short").flatten().to_numpy().view(np.uint64).reshape(-1, SHORT_WORDS)
+            if not batch.num_rows:
+                continue
+            units = sketch_units(np.stack([np.frombuffer(x, dtype=np.uint8) for x in batch.column("sketch").to_pylist()]))
+            if votes is None:
+                votes = np.zeros((16, units.shape[1]), dtype=np.float32)
             for i, (key, *member) in enumerate(zip(*(batch.column(c).to_numpy().tolist() for c in ("key", "node", "root", "n")))):
                 if key != held_key:
                     held_key, nth = key, 0
                 node, root, n = member
                 at = min(nth, hi) - lo
                 if at > 0:
-                    bits = np.bitwise_count(prints[:at] ^ shorts[i]).sum(axis=1)
-                    fits = (held[1, :at] != root) & (np.minimum(held[2, :at], n) >= SIMILARITY * np.maximum(held[2, :at], n) - 1e-6) & (bits <= SHORT_BITS)
-                    own = held[0, :at][fits]
+                    fits = np.nonzero((held[1, :at] != root) & (np.minimum(held[2, :at], n) >= SIMILARITY * np.maximum(held[2, :at], n) - 1e-6))[0]
+                    own = held[0, fits[votes[fits] @ units[i] >= COSINE]]
                     if len(own):
-                        a.append(own.copy())
+                        a.append(own)
                         b.append(np.full(len(own), node, dtype=np.int64))
                         rows += len(own)
                 if lo <= nth < hi:
                     if nth - lo == held.shape[1]:
-                        held, prints = np.concatenate([held, np.zeros_like(held)], axis=1), np.concatenate([prints, np.zeros_like(prints)])
-                    held[:, nth - lo], prints[nth - lo] = member, shorts[i]
+                        held, votes = np.concatenate([held, np.zeros_like(held)], axis=1), np.concatenate([votes, np.zeros_like(votes)])
+                    held[:, nth - lo], votes[nth - lo] = member, units[i]
                 nth += 1
                 if rows >= 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -134,32 +195,40 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(_verify_batches, "a long, b long")
 
 
+def meetings(classes: DataFrame) -> DataFrame:
+    """``(key, node, members)``: members of buckets that may have a partner there; 0 members are more than CROWD."""
+    words = [F.col("short")[k].alias(f"s{k}") for k in range(SHORT_WORDS)]
+    keyed = classes.select(F.explode("keys").alias("key"), "node", *words)
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting_batches, "key long, node long, members long")
+
+
 def near_copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Verified links ``(a, b)`` whose components are those of all proposed pairs of SIMILARITY or more.
 
-    ``classes`` holds ``(node, n, short, keys)``, a row for each distinct shingle set. None if nothing is proposed.
+    ``classes`` holds ``(node, n, short, sketch, keys)``, a row for each distinct shingle set. None if nothing is proposed.
     """
-    keyed = classes.select("node", F.explode("keys").alias("key"))
-    # members of a bucket side by side; most keys are one text's alone and go no further
-    grouped = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = keyed.join(grouped, "key")
-    buckets = work_table(met.join(classes.drop("keys"), "node").select("key", "node", "n", "short", "members"), "buckets")
-    biggest = buckets.agg(F.max("members")).first()[0]
+    met = work_table(meetings(classes), "meetings")
+    crowds = met.filter("members = 0").groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    biggest = met.select("members").unionByName(crowds.select("members")).agg(F.max("members")).first()[0]
     if biggest is None:
         return None
-    texts = work_table(texts.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
+    # a class moves once with all its buckets, of which it has no more than keys
+    own = met.groupBy("node").agg(F.collect_list(F.struct("key", "members")).alias("buckets"))
+    nodes = work_table(own.join(classes.select("node", "n", "sketch"), "node"), "nodes")
+    texts = work_table(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "candidates")
     links, lo, hi = None, 0, 1
     while lo < biggest - 1:
-        open_ones = buckets.filter(F.col("members") > lo + 1)
         if links is None:
-            rooted = open_ones.withColumn("root", F.col("node"))
+            rooted = nodes.withColumn("root", F.col("node"))
         else:
-            rooted = open_ones.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ordered = rooted.select("key", "node", "root", "n", "short").repartition("key").sortWithinPartitions("key", "node")
+            rooted = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = lo + 1
+        opened = F.transform(F.filter("buckets", lambda x: (x.members > least) | (x.members == 0)), lambda x: x.key)
+        ordered = rooted.select("node", "root", "n", "sketch", F.explode(opened).alias("key")).repartition("key").sortWithinPartitions("key", "node")
         pairs = work_table(ordered.mapInArrow(_pair_batches(lo, hi), "a long, b long").distinct(), "pairs")
         found = work_table(verified(pairs, texts), "links")
         links = found if links is None else links.unionByName(found)
-        lo, hi = hi, 16 * hi
+        lo, hi = hi, min(16 * hi, hi + HELD)
     return links
 
 
@@ -180,7 +249,7 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     signed = work_table(texts.mapInArrow(_signature_batches, _SIGNED), "signatures")
     heads = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = signed.join(heads.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "short", "keys")
+    classes = signed.join(heads.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "short", "sketch", "keys")
     copies = signed.select("doc_id", "digest").join(heads.filter("copies > 1"), "digest").filter("doc_id <> node").select("doc_id")
     links = near_copy_links(classes, texts)
     if links is not None:

@@ -91,3 +91,43 @@ def test_repeated_and_null_ids(spark):
     text = " ".join(_words(random.Random(4), 50))
     assert sorted(map(str, _kept(spark, [(None, text), (None, text), (5, text), (5, text), (7, text + " end")]))) == ["5", "None", "None"]
     assert _kept(spark, []) == []
+
+
+@pytest.mark.parametrize("n", [9, 36, 180, 900])
+def test_sketched_votes_let_pairs_at_the_bound_through(n):
+    rng = np.random.default_rng(6)
+    at, below = 0, 0
+    for share in (8 / 9, 0.68):  # of each set in common: similarity 0.8 and 0.52
+        for _ in range(200):
+            k = round(n * share)
+            both, a, b = (rng.integers(0, 1 << 63, m, dtype=np.uint64) for m in (k, n - k, n - k))
+            x, y = simhash.sketch_units(simhash.sketches(np.stack([wide_votes(np.union1d(both, a)), wide_votes(np.union1d(both, b))])))
+            if share > 0.8:
+                at += x @ y < near_copies.COSINE
+            else:
+                below += x @ y >= near_copies.COSINE
+    assert at <= 1 and below == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 50, 1000])
+def test_members_near_no_other_go_and_no_one_else(size):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for key, members in enumerate([1, 2, 2, 3, 10, 40, near_copies.CROWD, near_copies.CROWD + 1, 200, 1, 2]):
+        middle = rng.integers(0, 1 << 62, 2)
+        for i in range(members):
+            near = rng.random() < 0.5
+            rows.append((key, len(rows), *(middle ^ (1 << i % 20) if near else rng.integers(0, 1 << 62, 2)).tolist()))
+    wanted = {}
+    for key, node, *short in rows:
+        others = [r for r in rows if r[0] == key and r[1] != node]
+        if len(others) >= near_copies.CROWD or any(sum((x ^ y).bit_count() for x, y in zip(short, r[2:])) <= near_copies.SHORT_BITS for r in others):
+            wanted[node] = key
+    names = ["key", "node", "s0", "s1"]
+    parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], names=names) for i in range(0, len(rows), size)]
+    found = [x for p in near_copies._meeting_batches(iter(parts)) for x in zip(*(p.column(c).to_pylist() for c in ("key", "node", "members")))]
+    assert sorted((node, key) for key, node, _ in found) == sorted(wanted.items())
+    counts = {k: sum(key == k for key in wanted.values()) for k in wanted.values()}
+    assert all(m in (0, counts[key]) and (m == 0) == (counts[key] > near_copies.CROWD) for key, _, m in found)
