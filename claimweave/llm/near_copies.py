@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, work_table
+from .common import maybe_among, slices, text_or_empty, work_table
 from .components import connected_components
 from .simhash import _SPACES, SHORT_WORDS, sketch_units, sketches, wide_keys, wide_votes
 
@@ -214,8 +214,10 @@ def near_copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
         return None
     # a class moves once with all its buckets, of which it has no more than keys
     own = met.groupBy("node").agg(F.collect_list(F.struct("key", "members")).alias("buckets"))
-    nodes = work_table(own.join(classes.select("node", "n", "sketch"), "node"), "nodes")
-    texts = work_table(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "candidates")
+    few = maybe_among(classes.select("node", "n", "sketch"), "node", met.select("node"))
+    nodes = work_table(own.join(few, "node"), "nodes")
+    ids = nodes.select(F.col("node").alias("doc_id"))
+    texts = work_table(maybe_among(texts, "doc_id", ids).join(ids, "doc_id", "left_semi"), "candidates")
     links, lo, hi = None, 0, 1
     while lo < biggest - 1:
         if links is None:

@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from claimweave.llm import near_copies, simhash
+from claimweave.llm import common, near_copies, simhash
 from claimweave.llm.simhash import wide_keys, wide_votes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -131,3 +131,13 @@ def test_members_near_no_other_go_and_no_one_else(size):
     assert sorted((node, key) for key, node, _ in found) == sorted(wanted.items())
     counts = {k: sum(key == k for key in wanted.values()) for k in wanted.values()}
     assert all(m in (0, counts[key]) and (m == 0) == (counts[key] > near_copies.CROWD) for key, _, m in found)
+
+
+def test_filter_of_ids_keeps_all_of_them_and_few_others(spark):
+    rows = spark.createDataFrame([(i * 7919 - 40_000, f"t{i}") for i in range(20_000)], "doc_id long, text string")
+    some = rows.filter("doc_id % 10 = 0").select("doc_id")
+    wanted = {r.doc_id for r in some.collect()}
+    kept = {r.doc_id for r in common.maybe_among(rows, "doc_id", some).collect()}
+    assert wanted <= kept and len(kept) < len(wanted) + 20
+    assert common.maybe_among(rows, "doc_id", some.limit(0)).count() == 0
+    assert common.maybe_among(rows.limit(0), "doc_id", some).count() == 0
