@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mil_quality, mixing, packing, perplexity, pii, resharding, simhash, warc
+from . import ann, chat, mil_quality, mixing, packing, perplexity, pii, resharding, runs, simhash, token_files, warc, whitening
 from .common import table, work_path
 
 
@@ -114,6 +114,35 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sound embeddings on the 16 leading components of their codes, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written in seekable files and read back."""
+    path = work_path(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_files.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by its checksum, repeats some of its words from a place on to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"))
+    placed = words.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    dealt = placed.withColumn("p", F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1)
+    index = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    again = F.transform(index, lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return dealt.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, with the planted ones."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return runs.periodic_runs(_with_planted_runs(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -126,6 +155,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rules": op8_rules,
         "op9_mixing": op9_mixing,
         "op10_surrogates": op10_surrogates,
+        "op11_whitening": op11_whitening,
+        "op12_token_files": op12_token_files,
+        "op13_runs": op13_runs,
     }
 
 
