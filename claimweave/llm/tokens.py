@@ -12,16 +12,21 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
+from struct import pack
 
 import numpy as np
 
-#: Encoded pieces that a worker keeps; a fuller table is emptied. Longer pieces are not kept.
-KEPT, KEPT_CHARS = 1 << 20, 48
+#: Encoded pieces that a worker keeps; of a fuller table only the last batch's stay. Longer pieces are not kept.
+KEPT, KEPT_CHARS = 1 << 19, 48
 #: Characters that the library takes at once when distinct pieces are encoded.
 AT_ONCE = 1 << 11
 #: White space of Python, and what counts as such in some Unicode version or engine.
 _EDGES = "".join(c for c in map(chr, range(0x10000)) if c.isspace()) + "\u180e\u200b\u200e\u200f\ufeff"
 
+#: Punctuation behind words, and the last letter of blocks that all Unicode versions in use agree on.
+_MARKS, _SETTLED = ".,;:!?)\"", "\u04ff"
+
 
 def tokenizer_file() -> str:
     """The public byte-level BPE of 50k ids."""
@@ -30,6 +35,16 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Shown(dict):
+    """The characters that stand for a character's bytes in the vocabulary, by code point."""
+
+    def __missing__(self, code: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self[code] = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))[0][0]
+        return self[code]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers, as bytes."""
 
@@ -41,6 +56,8 @@ class Encoder:
         self._added = [token.content for token in self._library.get_added_tokens_decoder().values()]
         self._line_feed = self._whole("\n")
         self._line_feed_id = np.frombuffer(self._line_feed, dtype="<u4")[0]
+        self._shown = _Shown()
+        self._marks: dict[str, bytes] = {}
         self._bare: dict[str, bytes] = {}
         self._spaced: dict[str, bytes] = {}
 
@@ -65,14 +82,37 @@ class Encoder:
                     table[p] = raw[at:end]
                     at = end + 4
 
+    def _words(self, table: dict[str, bytes], pieces: list[str], before: str) -> list[str]:
+        """Encode pieces that are a word of letters and perhaps punctuation behind it; return the others.
+
+        The word is one pre-token, which goes straight to the library's model, and the punctuation is another.
+        """
+        rest, marked = [], []
+        tokenize, shown = self._library.model.tokenize, self._shown
+        for p in pieces:
+            word = p.rstrip(_MARKS)
+            if not (word.isalpha() and max(word) <= _SETTLED):
+                rest.append(p)
+                continue
+            if word not in table:
+                ids = [t.id for t in tokenize((before + word).translate(shown))]
+                table[word] = pack(f"<{len(ids)}I", *ids)
+            if word != p:
+                marked.append((p, word, p[len(word) :]))
+        for p, word, marks in marked:
+            if marks not in self._marks:
+                self._marks[marks] = self._whole(marks)
+            table[p] = table[word] + self._marks[marks]
+        return rest
+
     def _fill(self, table: dict[str, bytes], pieces: set[str], before: str) -> None:
         """Add the pieces that stand behind ``before`` to a table, as far as they can be cut out."""
-        single = [p for p in pieces if "\n" not in p and p.strip(_EDGES) == p and p]
-        self._learn(table, single, before)
+        single = self._words(table, [p for p in pieces if "\n" not in p], before)
+        self._learn(table, [p for p in single if p.strip(_EDGES) == p != ""], before)
         feed = self._line_feed
         lines = {p: q for p in pieces if "\n" in p and all(q := [x if x.strip(_EDGES) == x else "" for x in p.split("\n")])}
-        self._learn(table, list({q[0] for q in lines.values()} - table.keys()), before)
-        self._learn(self._bare, list({x for q in lines.values() for x in q[1:]} - self._bare.keys()), "")
+        self._learn(table, self._words(table, list({q[0] for q in lines.values()} - table.keys()), before), before)
+        self._learn(self._bare, self._words(self._bare, list({x for q in lines.values() for x in q[1:]} - self._bare.keys()), ""), "")
         for p, q in lines.items():
             table[p] = feed.join([table[q[0]], *map(self._bare.__getitem__, q[1:])])
 
@@ -80,19 +120,22 @@ class Encoder:
         """The ids of each text."""
         cut = [text.split(" ") for text in texts]
         # the first piece of a text stands bare, all others behind the space they were cut at
-        heads, wanted = [{c[0] for c in cut}, set().union(*(c[1:] for c in cut))]
+        heads, wanted = {c[0] for c in cut}, set(chain.from_iterable(cut))
         for name, own in (("_bare", heads), ("_spaced", wanted)):
             if len(getattr(self, name)) > KEPT:  # what this batch holds stays
                 setattr(self, name, {p: ids for p, ids in getattr(self, name).items() if p in own})
-        self._fill(self._bare, heads - self._bare.keys(), "")
-        self._fill(self._spaced, wanted - self._spaced.keys(), " ")
+        new_heads, new = heads.difference(self._bare), wanted.difference(self._spaced)
+        self._fill(self._bare, new_heads, "")
+        self._fill(self._spaced, new, " ")
         out, find = [], self._spaced.__getitem__
         for pieces in cut:
             try:
-                out.append(self._bare[pieces[0]] + b"".join(map(find, pieces[1:])))
+                found = list(map(find, pieces))
+                found[0] = self._bare[pieces[0]]
+                out.append(b"".join(found))
             except KeyError:
                 out.append(self._around(pieces))
-        for own, table in ((heads, self._bare), (wanted, self._spaced)):
+        for own, table in ((new_heads, self._bare), (new, self._spaced)):
             for p in own:
                 if len(p) > KEPT_CHARS:
                     table.pop(p, None)
