@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty, work_table
+from .tokens import encoder
 
 LENGTH = 2048
 #: Left-over pieces of a group, on average.
@@ -54,8 +55,16 @@ def _encoding(path: str) -> tiktoken.Encoding:
 
 
 def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
-    """The ids of one text, then the end id. The string of an added token is that token's id, as in ``tokenizers``."""
-    return np.array([*_encoding(path or vocabulary_file()).encode(text or "", allowed_special="all"), END_ID], dtype="<u4")
+    """The ids of one text, then the end id. The string of an added token is that token's id, as in ``tokenizers``.
+
+    What ``tiktoken`` cannot split (runs of some million white spaces overflow its pattern's stack) ``tokenizers`` encodes.
+    """
+    ranks = path or vocabulary_file()
+    try:
+        found = _encoding(ranks).encode(text or "", allowed_special="all")
+    except ValueError:
+        found = np.frombuffer(encoder(f"{ranks.removesuffix('.tiktoken')}.json").encode([text])[0], dtype="<u4")
+    return np.array([*found, END_ID], dtype="<u4")
 
 
 def _piece_batches(path: str | None, length: int, keep_ids: bool):

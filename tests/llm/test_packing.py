@@ -2,9 +2,14 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from claimweave.llm import packing
+from claimweave.llm.packing import END_ID, pack_documents, token_ids
+
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 SCHEMA = "doc_id long, text string, start int, ids string"
 
@@ -51,3 +56,35 @@ def test_first_fit_decreasing_matches_a_plain_search():
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", " ", "\r\n"])
+def test_a_million_spaces(space):
+    for text in (space * 10**6, "a" + space * 1_200_000 + "b c"):
+        assert token_ids(text).tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, END_ID]
+
+
+def test_ten_million_spaces():
+    text = "a" + " " * 10**7 + "b"
+    assert token_ids(text).tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, END_ID]
+
+
+def test_random_code_points():
+    rng = np.random.default_rng(8)
+    pool = [*" \t\n\r 　 ", "  ", "\n\n", "ab", "'s", "1", "é", "́", "<|endoftext|>", "\U0001f600", "日"]
+    for _ in range(2000):
+        odd = "".join(chr(c) for c in rng.integers(0, 0xD800, 8).tolist())
+        text = "".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(0, 20))) + odd
+        assert token_ids(text).tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, END_ID], repr(text)
+
+
+def test_documents_and_pages(spark, sf):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [r.html or "" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    for text, want in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False)):
+        assert token_ids(text).tolist() == [*want.ids, END_ID]
+
+
+def test_packing_runs_over_such_texts(spark):
+    rows = [(1, " " * 1_000_000), (2, "a b c"), (3, None)]
+    packed = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {d: len(token_ids(t)) for d, t in rows}
