@@ -248,7 +248,8 @@ def page_digests(read: DataFrame) -> DataFrame:
     """
     rows = work_table(read.select("page_id", "refers_to", "digest", F.col("kind").alias("record_type"), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")), "pages")
     own = rows.filter("record_type = 'response'")
-    again = rows.filter("record_type = 'revisit'").select("page_id", "refers_to", "record_type")
-    cited = own.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").join(again.select("refers_to").distinct(), "refers_to", "left_semi").dropDuplicates(["refers_to"])
+    again = rows.filter("record_type = 'revisit'").select("page_id", "refers_to", "digest", "record_type")
+    same = ["refers_to", "digest"]  # rows that repeat a page_id differ in their payloads
+    cited = own.select(F.col("page_id").alias("refers_to"), "digest", "payload_bytes", "payload_digest").join(again.select(same).distinct(), same, "left_semi").dropDuplicates(same)
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return own.select(out).unionByName(again.join(cited, "refers_to", "left").select(out))
+    return own.select(out).unionByName(again.join(cited, same, "left").select(out))

@@ -51,3 +51,12 @@ def test_broken_input_is_refused(spark):
     parts = [("response", "r", 1, "u", None, None, None, 1, None, bytearray(b"a")), ("continuation", "c", None, "u", None, None, "r", 3, 3, bytearray(b"b"))]
     with pytest.raises(Exception, match="not whole"):
         warc.reassemble(spark.createDataFrame(parts, warc._RECORD)).collect()
+
+
+def test_a_repeated_page_id_with_other_payloads(spark):
+    a, b = "a" * 150, "b" * 150
+    path = work_path(spark, "t")
+    warc.write_archives(spark.createDataFrame([(5, "u", a), (5, "u", b), (7, "u", a), (8, "u", b)], "page_id long, url string, html string"), path)
+    got = {(r.page_id, r.payload_digest, r.refers_to) for r in warc.page_digests(warc.read_archives(spark, path)).collect()}
+    da, db = (hashlib.sha256(x.encode()).hexdigest() for x in (a, b))
+    assert got == {(5, da, None), (5, db, None), (7, da, 5), (8, db, 5)}
