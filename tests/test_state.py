@@ -69,12 +69,12 @@ def test_ingest_is_incremental_and_idempotent(spark, tmp_path):
     assert run() == {("a", "2"), ("b", "1"), ("c", "1")}
     assert {k: v for k, v in size().items() if k in before} == before  # only the new batch was written
     again = spark.createDataFrame([("c", 1, "1")], schema)
-    U.write_delta(spark, again, target, 2)
+    U.write_delta(spark, again, target, "again", 0)
     assert {(r.id, r.v) for r in U.merged_deltas(spark, target, ["id"], "seq").collect()} == {("a", "2"), ("b", "1"), ("c", "1")}
     for _ in range(2):
         U.compact_deltas(spark, target, ["id"], "seq")
         assert {(r.id, r.v) for r in U.merged_deltas(spark, target, ["id"], "seq").collect()} == {("a", "2"), ("b", "1"), ("c", "1")}
-    U.write_delta(spark, spark.createDataFrame([("b", 5, "5")], schema), target, 3)
+    U.write_delta(spark, spark.createDataFrame([("b", 5, "5")], schema), target, "again", 1)
     U.compact_deltas(spark, target, ["id"], "seq")
     assert {(r.id, r.v) for r in U.merged_deltas(spark, target, ["id"], "seq").collect()} == {("a", "2"), ("b", "5"), ("c", "1")}
 

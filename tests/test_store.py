@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
@@ -33,9 +34,9 @@ def test_processing_is_idempotent_and_keeps_keys(spark, tmp_path):
     store = GraphStore(spark, f"file://{tmp_path}/g")
     topics = spark.createDataFrame([("margin", "Gross margin", None, ["margin"])], "id string, name string, description string, aliases array<string>")
     first = process_pages(store, pages(spark), topics, call, judge, now="2024-02-01")
-    assert first == {"documents": 3, "claims": 3, "claim_vectors": 3, "contradictions": 2}  # synthetic against real only
+    assert first == {"documents": 3, "claims": 3, "indexed": 3, "contradictions": 2}  # synthetic against real only
     snapshot = {n: sorted(map(str, store.table(n).collect())) for n in TABLES}
-    assert process_pages(store, pages(spark), topics, call, judge, now="2024-02-01") == first
+    assert process_pages(store, pages(spark), topics, call, judge, now="2024-02-01") == first | {"indexed": 0}
     assert snapshot == {n: sorted(map(str, store.table(n).collect())) for n in TABLES}
     for name, key in KEYS.items():
         assert U.duplicate_keys(store.table(name), key).isEmpty(), name
@@ -84,3 +85,68 @@ def test_only_new_or_changed_claims_are_embedded(spark, tmp_path):
     before = sorted(map(str, store.table("claim_vectors").collect()))
     store.index_claims(lambda text: F.array(F.raise_error(F.concat(F.lit("embedded again: "), text)).cast("float")))
     assert before == sorted(map(str, store.table("claim_vectors").collect()))
+
+
+def two_companies(spark, text="hold", second="Y"):
+    def page(i, said, ticker):
+        return (i, f"<body><h1>Item 1. Business</h1><p>{LONG.replace('hold', said)}</p></body>", "10-K", "2024-01-01", None, "u", "real", "r", ticker, f"Name {ticker}", 1)
+
+    return spark.createDataFrame([page("a1", text, "X"), page("a2", "fall", "X"), page("b1", "hold", second), page("b2", "fall", second)], PAGE)
+
+
+def files(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def stored(spark, path):
+    topics = spark.createDataFrame([("margin", "Gross margin", None, ["margin"])], "id string, name string, description string, aliases array<string>")
+    return GraphStore(spark, f"file://{path}/g", buckets=2), topics
+
+
+def test_a_merge_writes_its_companys_files_only_and_reads_prune(spark, tmp_path):
+    store, topics = stored(spark, tmp_path)
+    assert process_pages(store, two_companies(spark), topics, call, judge)["contradictions"] == 2
+    before, other = files(tmp_path / "g"), sorted(map(str, store.table("claims", ["Y"]).collect()))
+    process_pages(store, two_companies(spark, "double").filter("ticker = 'X'"), topics, call, judge)
+    changed = {n for n in files(tmp_path / "g").keys() ^ before.keys()} | {n for n, t in files(tmp_path / "g").items() if before.get(n) != t}
+    assert changed and all("of_company=X" in n for n in changed)
+    assert other == sorted(map(str, store.table("claims", ["Y"]).collect()))
+    plan = store.table("claims", ["X"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [of_company" in plan.replace("isnotnull(of_company#", "of_company#") and len(store.table("claims", ["X"]).inputFiles()) < len(store.table("claims").inputFiles())
+
+
+def test_joins_of_stored_tables_need_no_exchange(spark, tmp_path):
+    store, topics = stored(spark, tmp_path)
+    process_pages(store, two_companies(spark), topics, call, judge)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = store.table("claims").join(store.table("about"), "claim_id").join(store.table("made"), "claim_id")
+        assert joined.count() == 4 and "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        counted = store.table("claims").groupBy("claim_id").count()
+        assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_a_repeated_key_fails_before_anything_is_written(spark, tmp_path):
+    store, topics = stored(spark, tmp_path)
+    process_pages(store, two_companies(spark), topics, call, judge)
+    before = files(tmp_path / "g")
+    twice = store.stored("claims", ["X"])
+    with pytest.raises(Exception, match="a key of claims occurs twice"):
+        store.put("claims", twice.unionByName(twice), ["X"])
+    assert files(tmp_path / "g") == before
+
+
+def test_a_document_that_moves_and_companies_that_become_empty(spark, tmp_path):
+    store, topics = stored(spark, tmp_path)
+    process_pages(store, two_companies(spark, second="it's/a=b"), topics, call, judge)
+    assert {r.ticker for r in store.table("documents").collect()} == {"X", "it's/a=b"}
+    process_pages(store, two_companies(spark, second="Z"), topics, call, judge)
+    assert sorted((r.document_id, r.ticker) for r in store.table("documents").collect()) == [("a1", "X"), ("a2", "X"), ("b1", "Z"), ("b2", "Z")]
+    assert {r.company_ticker for r in store.table("claims").collect()} == {"X", "Z"} and store.table("contradictions").count() == 2
+    again = GraphStore(spark, store.path, buckets=2)
+    store.clear_contradictions()
+    assert again.table("contradictions").isEmpty() and again.table("claims").count() == 4
+    assert not {p.name for p in (tmp_path / "g" / "claims").iterdir()} & {"of_company=it's", "of_company=it%27s%2Fa%3Db"}
