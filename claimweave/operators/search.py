@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.vectors import cosine
+from claimweave.operators.vector_index import VectorIndex
 
 
 #: Stated queries, or rows of a form's limits, that are broadcast at most.
@@ -17,18 +18,15 @@ def few_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else df
 
 
-def vector_topk(points: DataFrame, queries: DataFrame, k: int = 10, key: str = "claim_id") -> DataFrame:
-    """The ``k`` points nearest to each query ``(query_id, q_vector[, ticker])`` by cosine.
+def vector_topk(points: DataFrame, queries: DataFrame, k: int = 10, key: str = "claim_id", index: VectorIndex | None = None) -> DataFrame:
+    """The ``k`` points nearest to each query ``(query_id, q_vector[, ticker])`` by cosine, exactly. Ties go to the smaller key.
 
-    With a ``ticker`` in both tables only points of the query's company count, by an equi-join.
-    Without one each of the stated queries is held against all points: they are broadcast while they
-    are at most BROADCAST_QUERIES, and else Spark pairs blocks of both sides. Ties go to the smaller key.
+    With a ``ticker`` in both tables only points of the query's company count, by an equi-join. Without
+    one a block index is searched: the stored one, or one that is built over the points here.
     """
-    if "ticker" in queries.columns:
-        pairs = points.join(queries, "ticker")
-    else:
-        pairs = points.crossJoin(few_broadcast(queries))
-    scored = pairs.withColumn("score", cosine(F.col("vector"), F.col("q_vector"))).filter("score IS NOT NULL")
+    if "ticker" not in queries.columns:
+        return (index or VectorIndex.build(points, key)).search(queries, k)
+    scored = points.join(queries, "ticker").withColumn("score", cosine(F.col("vector"), F.col("q_vector"))).filter("score IS NOT NULL")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.drop("q_vector", "vector").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
