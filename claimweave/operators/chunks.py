@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import judgement as J
 from claimweave.functions import text as T
+from claimweave.operators.inference import Client, infer, opened
 
 
 def segment(blocks: DataFrame) -> DataFrame:
@@ -111,32 +111,39 @@ def canonical_claim(raw: dict) -> dict:
     return named | {k: raw.get(k) or "" for k in ("stance", "speaker", "role")} | {"value_numeric": float(value) if isinstance(value, (int, float)) else None}
 
 
-def extract_with(call: Callable[[str, int], list[dict]], topics: list[str], retries: int = 2):
-    """A ``mapInPandas`` function that asks a model for claims of each chunk, again while quotes fail.
+def claims_of(text: str, call: Callable[[str, int], list[dict]], topics: list[str], retries: int = 2) -> list[dict]:
+    """A model's claims about a text, asked for again while quotes fail, ``retries`` + 1 times at most.
 
-    ``call`` takes the chunk's text and the attempt; at most ``retries`` + 1 calls are made. Claims of
-    unknown topics or without a quote don't count. Quotes are made verbatim (:func:`verbatim_piece`);
-    claims whose quote the text doesn't hold are dropped, of equal ones the last stays.
+    ``call`` takes the text and the attempt. Claims of unknown topics or without a quote don't count. Quotes are made verbatim
+    (:func:`verbatim_piece`); claims whose quote the text doesn't hold are dropped, of equal ones the last stays.
     """
+    kept: dict[tuple, dict] = {}
+    for attempt in range(retries + 1):
+        asked = [c for c in map(canonical_claim, call(text, attempt)) if c["topic"] in topics and c["quote_span"]]
+        good = [c | {"quote_span": piece} for c in asked if (piece := verbatim_piece(text, c["quote_span"]))]
+        kept |= {(c["topic"], c["quote_span"]): c for c in good}
+        if len(good) == len(asked):
+            break
+    return [c | {"attempts": attempt + 1} for c in kept.values()]
 
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                kept: dict[tuple, dict] = {}
-                for attempt in range(retries + 1):
-                    asked = [c for c in map(canonical_claim, call(row.text, attempt)) if c["topic"] in topics and c["quote_span"]]
-                    good = [c | {"quote_span": piece} for c in asked if (piece := verbatim_piece(row.text, c["quote_span"]))]
-                    kept |= {(c["topic"], c["quote_span"]): c for c in good}
-                    if len(good) == len(asked):
-                        break
-                out += [{"chunk_id": row.chunk_id, "document_id": row.document_id, "attempts": attempt + 1} | c for c in kept.values()]
-            found = pd.DataFrame(out, columns=[c.split()[0] for c in EXTRACTED.split(", ")])
-            yield found.astype({"value_numeric": "float64"})
 
-    return extract
+def extracted(chunks: DataFrame, call: Callable[[str, int], list[dict]] | Client, topics: list[str], retries: int = 2, **calls) -> DataFrame:
+    """``(chunk_id, document_id, answer, error)``: the claims of each chunk, or why there are none (:func:`~.inference.infer`)."""
 
+    def make() -> Callable[[dict], list[dict]]:
+        client = opened(call)
+        return lambda row: claims_of(row["text"], client, topics, retries)
 
+    return infer(chunks.select("chunk_id", "document_id", "text"), Client(make), CLAIM_LIST, **calls).drop("text")
+
+
+def claims_in(answers: DataFrame) -> DataFrame:
+    """The claims of :func:`extracted` as rows; chunks whose call failed have none."""
+    one = answers.filter("error IS NULL").select("chunk_id", "document_id", F.explode("answer").alias("claim"))
+    return one.select(*(f"claim.{c}" if c not in ("chunk_id", "document_id") else c for c in (f.split()[0] for f in EXTRACTED.split(", "))))
+
+
+CLAIM_LIST = "array<struct<attempts:int,topic:string,quote_span:string,claim_text:string,stance:string,speaker:string,role:string,value_numeric:double>>"
 EXTRACTED = "chunk_id string, document_id string, attempts int, topic string, quote_span string, claim_text string, stance string, speaker string, role string, value_numeric double"
 
 

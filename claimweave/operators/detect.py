@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.judgement import judgement, severity_order
 from claimweave.operators.graph import Graph, claim_speakers
+from claimweave.operators.inference import Client, infer
 
 _SIDE = ["id", "date", "speaker", "source", "doctype", "period", "quote", "stance", "value"]
 
@@ -56,30 +56,12 @@ def rule_verdict() -> Column:
     return F.to_json(F.struct((F.col("a_stance") != F.col("b_stance")).alias("contradicts"), severity.alias("severity"), F.concat(F.col("a_stance"), F.lit(" against "), F.col("b_stance")).alias("reasoning")))
 
 
-def judge_with(call: Callable[[dict], str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A ``mapInPandas`` function that asks ``call`` for each pair; an error is an empty answer."""
-
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers = []
-            for pair in frame.to_dict("records"):
-                try:
-                    answers.append(call(pair))
-                except Exception as error:  # noqa: BLE001 - one bad pair must not end the job
-                    answers.append(f"error: {type(error).__name__}")
-            yield frame.assign(answer=answers)
-
-    return judge
-
-
-def judge_pairs(pairs: DataFrame, call: Callable[[dict], str] | None = None) -> DataFrame:
-    """Pairs with ``contradicts``, ``severity`` and ``reasoning``; by rule, or by a model's ``call``."""
+def judge_pairs(pairs: DataFrame, call: Callable[[dict], str] | Client | None = None, **calls) -> DataFrame:
+    """Pairs with ``contradicts``, ``severity`` and ``reasoning``; by rule, or by a model's ``call``. A call that fails confirms nothing."""
     if call is None:
         answered = pairs.withColumn("answer", rule_verdict())
     else:
-        from pyspark.sql.types import StringType, StructField, StructType
-
-        answered = pairs.mapInPandas(judge_with(call), StructType([*pairs.schema, StructField("answer", StringType())]))
+        answered = infer(pairs, call, "string", **calls).withColumn("answer", F.coalesce("answer", F.concat(F.lit("error: "), "error")))
     return answered.withColumn("verdict", judgement(F.col("answer"))).select(*pairs.columns, "verdict.*")
 
 

@@ -367,7 +367,7 @@ def extracted_claims(spark, sf):
         return [good] if attempt or len(text) % 2 else [good, {**good, "quote_span": first + "?"}]
 
     chosen = C.select_chunks(C.segment(A.text_blocks(spark, sf)), A.text_documents(spark, sf), TEXT_TERMS)
-    return chosen.select("chunk_id", "document_id", "text").mapInPandas(C.extract_with(call, list(A.TEXT_TOPICS)), C.EXTRACTED)
+    return C.claims_in(C.extracted(chosen, call, list(A.TEXT_TOPICS)))
 
 
 @query("WITH l AS (SELECT conv_id, turn, 2 * turn AS pos, 'Speaker ' || role AS speaker, 'Head of ' || role AS role, text, 1 + turn // 4 AS page FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '') SELECT conv_id::VARCHAR AS document_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS ordinal, speaker, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, page::INT AS page, turn::DOUBLE AS y0, (turn + 1)::DOUBLE AS y1 FROM l")

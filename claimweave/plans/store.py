@@ -21,6 +21,7 @@ from claimweave.operators import chunks as C
 from claimweave.operators import detect as D
 from claimweave.operators import upsert as U
 from claimweave.operators.graph import Graph
+from claimweave.operators.inference import Client
 from claimweave.sources.html import page_blocks
 
 #: Stored claims hold the extractor's fields; the graph's claims are a projection of them.
@@ -219,9 +220,9 @@ class GraphStore:
         return self.put("contradictions", new, scope, "fresh")
 
 
-def extract_claims(chunks: DataFrame, documents: DataFrame, call: Callable[[str, int], list[dict]], topics: list[str], by: str, now: str) -> DataFrame:
-    """Stored claims of selected chunks; quotes are verbatim, ids follow from chunk, topic and quote."""
-    raw = chunks.select("chunk_id", "document_id", "text").mapInPandas(C.extract_with(call, topics), C.EXTRACTED)
+def extract_claims(answers: DataFrame, chunks: DataFrame, documents: DataFrame, by: str, now: str) -> DataFrame:
+    """Stored claims of the answers about chunks; quotes are verbatim, ids follow from chunk, topic and quote."""
+    raw = C.claims_in(answers)
     place = chunks.select("chunk_id", "section_id", "paragraph_index")
     doc = documents.select("document_id", "date", "source_type", "doc_type", F.col("ticker").alias("company_ticker"))
     rows = raw.join(place, "chunk_id").join(doc, "document_id")
@@ -229,11 +230,12 @@ def extract_claims(chunks: DataFrame, documents: DataFrame, call: Callable[[str,
     return rows.withColumn("extracted_by", F.lit(by)).withColumn("extracted_at", F.lit(now)).select([c.split()[0] for c in schemas.CLAIMS.split(", ")])
 
 
-def process_pages(store: GraphStore, pages: DataFrame, topics: DataFrame, call: Callable[[str, int], list[dict]], judge: Callable[[dict], str] | None = None, max_chunks: int = 10, by: str = "rule", now: str = "") -> dict[str, int]:
+def process_pages(store: GraphStore, pages: DataFrame, topics: DataFrame, call: Callable[[str, int], list[dict]] | Client, judge: Callable[[dict], str] | Client | None = None, max_chunks: int = 10, by: str = "rule", now: str = "") -> dict[str, int]:
     """All stages for new pages ``(document_id, html, doc_type, date, period, source_url, source_type, raw_ref, ticker, company_name, cik)``.
 
     Running it again changes nothing. Only documents with a claim enter the graph. Returns how many documents,
-    claims and contradictions were written and how many claims embedded, as the writing jobs counted them.
+    claims and contradictions were written and how many claims embedded, as the writing jobs counted them, and for how many
+    chunks the model's call ``failed``: these have no claims, all else goes on.
     """
     known = [(r.id, [r.name, *(r.aliases or [])]) for r in topics.collect()]  # the topic list is configuration
     scope = store.scope_of(pages)
@@ -241,7 +243,10 @@ def process_pages(store: GraphStore, pages: DataFrame, topics: DataFrame, call:
     chunks = C.segment(page_blocks(pages))
     store.merge_chunks(chunks, pages, scope)
     selected = C.select_chunks(chunks, pages, [t for _, terms in known for t in terms if t], max_chunks=max_chunks)
-    n_claims = store.merge_claims(extract_claims(selected, pages, call, [i for i, _ in known], by, now), scope)
+    answers = C.extracted(selected, call, [i for i, _ in known]).persist()  # the model is asked once; several tables follow from it
+    n_failed = answers.filter("error IS NOT NULL").count()
+    n_claims = store.merge_claims(extract_claims(answers, selected, pages, by, now), scope)
+    answers.unpersist()
     with_claims = store.table("claims", scope).select("document_id").distinct()
     n_documents = store.merge_documents(pages.drop("html").join(with_claims, "document_id", "left_semi"), scope)
-    return {"documents": n_documents, "claims": n_claims, "indexed": store.index_claims(scope=scope), "contradictions": store.detect(scope, judge, now=now)}
+    return {"documents": n_documents, "claims": n_claims, "failed": n_failed, "indexed": store.index_claims(scope=scope), "contradictions": store.detect(scope, judge, now=now)}

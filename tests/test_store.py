@@ -34,7 +34,7 @@ def test_processing_is_idempotent_and_keeps_keys(spark, tmp_path):
     store = GraphStore(spark, f"file://{tmp_path}/g")
     topics = spark.createDataFrame([("margin", "Gross margin", None, ["margin"])], "id string, name string, description string, aliases array<string>")
     first = process_pages(store, pages(spark), topics, call, judge, now="2024-02-01")
-    assert first == {"documents": 3, "claims": 3, "indexed": 3, "contradictions": 2}  # synthetic against real only
+    assert first == {"documents": 3, "claims": 3, "failed": 0, "indexed": 3, "contradictions": 2}  # synthetic against real only
     snapshot = {n: sorted(map(str, store.table(n).collect())) for n in TABLES}
     assert process_pages(store, pages(spark), topics, call, judge, now="2024-02-01") == first | {"indexed": 0}
     assert snapshot == {n: sorted(map(str, store.table(n).collect())) for n in TABLES}
@@ -56,11 +56,11 @@ def test_quotes_are_repaired_and_aliases_read(spark):
         [{"topic_id": "margin", "quote": "up.", "value_numeric": True}],
     ]
     rows = spark.createDataFrame([("k", "d", text)], "chunk_id string, document_id string, text string")
-    got = {r.quote_span: r for r in rows.mapInPandas(C.extract_with(lambda _, n: answers[n], ["margin"]), C.EXTRACTED).collect()}
+    got = {r.quote_span: r for r in C.claims_in(C.extracted(rows, lambda _, n: answers[n], ["margin"])).collect()}
     assert set(got) == {"gross\nmargin held", "ross\nmargin hel", "up."} and all(q in text for q in got)
     assert {r.attempts for r in got.values()} == {3} and [got[q].claim_text for q in sorted(got)] == ["c", "t", ""]
     assert got["gross\nmargin held"].value_numeric == 5 and got["up."].value_numeric == 1 and got["ross\nmargin hel"].value_numeric is None
-    once = rows.mapInPandas(C.extract_with(lambda _, n: answers[2] if not n else 1 / 0, ["margin"]), C.EXTRACTED).collect()
+    once = C.claims_in(C.extracted(rows, lambda _, n: answers[2] if not n else 1 / 0, ["margin"])).collect()
     assert [r.attempts for r in once] == [1]
 
 
