@@ -18,7 +18,7 @@ from struct import pack
 import numpy as np
 
 #: Encoded pieces that a worker keeps; of a fuller table only the last batch's stay. Longer pieces are not kept.
-KEPT, KEPT_CHARS = 1 << 19, 48
+KEPT, KEPT_CHARS = 3 << 18, 48
 #: Characters that the library takes at once when distinct pieces are encoded.
 AT_ONCE = 1 << 11
 #: White space of Python, and what counts as such in some Unicode version or engine.
@@ -88,14 +88,15 @@ class Encoder:
         The word is one pre-token, which goes straight to the library's model, and the punctuation is another.
         """
         rest, marked = [], []
-        tokenize, shown = self._library.model.tokenize, self._shown
+        tokenize, shown, head = self._library.model.tokenize, self._shown, before.translate(self._shown)
         for p in pieces:
             word = p.rstrip(_MARKS)
-            if not (word.isalpha() and max(word) <= _SETTLED):
+            plain = word.isascii()
+            if not (word.isalpha() and (plain or max(word) <= _SETTLED)):
                 rest.append(p)
                 continue
             if word not in table:
-                ids = [t.id for t in tokenize((before + word).translate(shown))]
+                ids = [t.id for t in tokenize(head + (word if plain else word.translate(shown)))]
                 table[word] = pack(f"<{len(ids)}I", *ids)
             if word != p:
                 marked.append((p, word, p[len(word) :]))
