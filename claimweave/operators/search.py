@@ -43,9 +43,33 @@ def search_score(ticker: Column, name: Column, query: Column) -> Column:
     return F.when(q == "", None).when(t == q, 0).when(F.startswith(t, q), 1).when(F.contains(n, q), 2).when(F.contains(t, q), 3)
 
 
-def company_search(universe: DataFrame, queries: DataFrame, processed: DataFrame, limit: int = 15) -> DataFrame:
-    """The best companies ``(pos, ticker, name, cik)`` for each query ``(query)``, ``processed`` or not."""
-    scored = universe.crossJoin(few_broadcast(queries)).withColumn("score", search_score(F.col("ticker"), F.col("name"), F.col("query"))).filter("score IS NOT NULL")
+def _grams(text: Column, size: Column | int) -> Column:
+    """The different substrings of a length."""
+    size = F.lit(size) if isinstance(size, int) else size
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def company_grams(universe: DataFrame) -> DataFrame:
+    """The search index of companies: ``(gram, pos)`` for all parts of one to three characters of tickers and names."""
+    texts = [F.lower(F.coalesce(c, F.lit(""))) for c in ("ticker", "name")]
+    parts = F.array_distinct(F.flatten(F.array(*(_grams(t, n) for t in texts for n in (1, 2, 3)))))
+    return universe.select(F.explode(parts).alias("gram"), "pos")
+
+
+def company_search(universe: DataFrame, queries: DataFrame, processed: DataFrame, limit: int = 15, grams: DataFrame | None = None) -> DataFrame:
+    """The best companies ``(pos, ticker, name, cik)`` for each query ``(query)``, ``processed`` or not.
+
+    A query's rarest part of three characters (or itself, if it is shorter) names the companies that can match, by the stored index
+    ``grams`` or one that is built here; these are scored. Equal queries count once, blank ones find nothing.
+    """
+    index = company_grams(universe) if grams is None else grams
+    text = F.lower(F.trim("query"))
+    wanted = queries.select("query").distinct().select("query", F.explode(_grams(text, F.greatest(F.lit(1), F.least(F.length(text), F.lit(3))))).alias("gram"))
+    known = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(known, "gram").groupBy("query").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    found = rarest.join(index, "gram").select("query", "pos").join(universe, "pos")
+    scored = found.withColumn("score", search_score(F.col("ticker"), F.col("name"), F.col("query"))).filter("score IS NOT NULL")
     order = Window.partitionBy("query").orderBy("score", F.length("ticker"), "pos")
     top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return flag_processed(top, processed).select("query", "rank", "ticker", "name", "cik", "score", "processed")
