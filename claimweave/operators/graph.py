@@ -104,17 +104,22 @@ def speaker_counts(g: Graph) -> DataFrame:
 _CLAIM = ["claim_id", "date", "source_type", "doc_type", "stance", "claim_text", "quote_span"]
 
 
-def claim_timeline(g: Graph) -> DataFrame:
-    """Claims of each company and topic by date, a row for each speaker who made them."""
+def timeline_rows(g: Graph) -> DataFrame:
+    """The rows of :func:`claim_timeline`, in no order."""
     rows = claims_of_companies(g).join(g.about, "claim_id").join(claim_speakers(g), "claim_id").join(g.claims.select(_CLAIM), "claim_id")
     named = rows.select("ticker", F.col("topic_id").alias("topic"), "date", "speaker", "role", F.col("source_type").alias("source"), "doc_type", "stance", "claim_text", F.col("quote_span").alias("quote"), "claim_id")
-    return named.orderBy("ticker", "topic", F.col("date").asc_nulls_last(), "claim_id", "speaker")
+    return named
+
+
+def claim_timeline(g: Graph) -> DataFrame:
+    """Claims of each company and topic by date, a row for each speaker who made them."""
+    return timeline_rows(g).orderBy("ticker", "topic", F.col("date").asc_nulls_last(), "claim_id", "speaker")
 
 
 def first_claims_of_topics(g: Graph, n: int = 4) -> DataFrame:
     """The first ``n`` claims of each company's topic in the timeline's order."""
     order = Window.partitionBy("ticker", "topic").orderBy(F.col("date").asc_nulls_last(), "claim_id", "speaker")
-    return claim_timeline(g).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n)
+    return timeline_rows(g).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n)
 
 
 def _endpoint(g: Graph, side: str) -> DataFrame:
@@ -123,14 +128,19 @@ def _endpoint(g: Graph, side: str) -> DataFrame:
     return picked.select(F.col("claim_id").alias(f"{side}_id"), F.col("date").alias(f"{side}_date"), F.col("speaker").alias(f"{side}_speaker"), F.col("source_type").alias(f"{side}_source"), F.col("quote_span").alias(f"{side}_quote"))
 
 
-def contradictions(g: Graph, severities: list[str]) -> DataFrame:
-    """Confirmed contradictions with both claims; the company is that of a, the topic that of b."""
+def contradiction_rows(g: Graph, severities: list[str]) -> DataFrame:
+    """The rows of :func:`contradictions`, in no order."""
     edges = g.contradictions.filter(F.col("severity").isin(severities)).select("a_id", "b_id", "severity", "reasoning", "judged_at")
     owner = claims_of_companies(g).select(F.col("claim_id").alias("a_id"), "ticker")
     topic = claim_topics(g).select(F.col("claim_id").alias("b_id"), "topic", F.col("name").alias("topic_name"))
     rows = edges.join(owner, "a_id").join(topic, "b_id").join(_endpoint(g, "a"), "a_id").join(_endpoint(g, "b"), "b_id")
     cols = ["ticker", "topic", "topic_name", "severity", "reasoning", "judged_at", *(f"{s}_{c}" for s in "ab" for c in ("id", "date", "speaker", "source", "quote"))]
-    return rows.select(cols).orderBy("ticker", severity_rank(F.col("severity")), "topic", "a_id", "b_id")
+    return rows.select(cols)
+
+
+def contradictions(g: Graph, severities: list[str]) -> DataFrame:
+    """Confirmed contradictions with both claims; the company is that of a, the topic that of b."""
+    return contradiction_rows(g, severities).orderBy("ticker", severity_rank(F.col("severity")), "topic", "a_id", "b_id")
 
 
 def keyword_search(g: Graph, terms: list[str], limit: int) -> DataFrame:
@@ -215,9 +225,31 @@ def summary_lines(g: Graph, per_topic: int = 4) -> DataFrame:
     return topic_counts(g).join(texts, ["ticker", "topic"]).select("ticker", "topic", F.concat(head, F.lit("\n"), F.col("samples")).alias("context"))
 
 
+def company_summaries(g: Graph, per_topic: int = 4, most: int = 15) -> DataFrame:
+    """``(ticker, context)``: what a summary of each company with claims is made from.
+
+    A line with its name, its topics by falling number of claims (:func:`summary_lines`), and its ``most`` gravest contradictions
+    with both quotes, if there are any. A company has as many parts as there are topics, and these, so a text is bounded.
+    """
+    tag = {s: T.source_tag(F.col(f"{s}_source")) for s in "ab"}
+    order = Window.partitionBy("ticker").orderBy(severity_rank(F.col("severity")), "topic", "a_id", "b_id", "a_speaker", "b_speaker")
+    gravest = contradiction_rows(g, ["low", "medium", "high"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
+    blank = F.lit("")
+    sides = [F.concat(F.lit(f"\n  {s.upper()} ("), F.coalesce(f"{s}_date", blank), F.lit(", "), F.coalesce(f"{s}_speaker", blank), F.lit(", "), tag[s], F.lit('): "'), F.coalesce(f"{s}_quote", blank), F.lit('"')) for s in "ab"]
+    item = F.concat(F.lit("["), "a_id", F.lit(" vs "), "b_id", F.lit("] "), F.coalesce("topic_name", "topic"), F.lit(" \u2014 severity "), "severity", F.lit(": "), F.coalesce("reasoning", blank), *sides)
+    found = gravest.select("ticker", "nth", item.alias("item")).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("nth", "item"))).alias("items"))
+    against = found.select("ticker", F.concat(F.lit("\n\nCONTRADICTIONS:\n"), F.array_join(F.transform("items", lambda x: x["item"]), "\n")).alias("against"))
+    sizes = topic_counts(g).select("ticker", "topic", (-F.col("claims")).alias("size"))
+    parts = summary_lines(g, per_topic).join(sizes, ["ticker", "topic"]).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("size", "topic", "context"))).alias("parts"))
+    topics = parts.select("ticker", F.array_join(F.transform("parts", lambda x: F.concat(F.lit("\n\n"), x["context"])), "").alias("topics"))
+    whole = topics.join(g.companies.select("ticker", "name"), "ticker", "left").join(against, "ticker", "left")
+    head = F.concat(F.lit("COMPANY: "), F.coalesce("name", "ticker"), F.lit(" ("), "ticker", F.lit(")\n\nTOPICS AND SAMPLE CLAIMS:"))
+    return whole.select("ticker", F.concat(head, "topics", F.coalesce("against", blank)).alias("context"))
+
+
 def suggested_questions(g: Graph, n: int = 5) -> DataFrame:
     """Questions a reader may ask of each company: on two contradictions, then on the largest topics."""
-    found = contradictions(g, ["medium", "high"])
+    found = contradiction_rows(g, ["medium", "high"])
     first = Window.partitionBy("ticker").orderBy(severity_rank(F.col("severity")), "topic", "a_id", "b_id")
     asked = found.withColumn("nth", F.row_number().over(first)).filter("nth <= 2").select("ticker", F.lit(0).alias("part"), "nth", F.concat(F.lit(ON_CONTRADICTION), F.lower("topic_name"), F.lit("?")).alias("question"))
     by_size = Window.partitionBy("ticker").orderBy(F.desc("claims"), "topic")

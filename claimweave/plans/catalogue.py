@@ -146,11 +146,27 @@ def run_summary(spark, sf):
     return G.totals({"companies": g.companies, "documents": g.documents, "claims": g.claims, "contradictions": g.contradictions})
 
 
-@query(graph_sql("SELECT ticker, topic, '- ' || topic || ' (' || any_value(name) || '): ' || any_value(claims) || ' claims' || CASE WHEN any_value(synthetic) > 0 THEN ', ' || any_value(synthetic) || ' synthetic' ELSE '' END || chr(10) || string_agg('  [' || claim_id || '] ' || date || ' — ' || speaker || ', ' || doc_type || ' [' || CASE WHEN source_type = 'synthetic' THEN 'SYNTHETIC DEMO DATA' ELSE 'real filing' END || ']: \"' || quote_span || '\"', chr(10) ORDER BY nth) AS context FROM (SELECT s.*, c.name, c.claims, c.synthetic, row_number() OVER (PARTITION BY s.ticker, s.topic ORDER BY s.date, s.claim_id, s.speaker) AS nth FROM spoken s JOIN topic_counts c ON s.ticker = c.ticker AND s.topic = c.topic) WHERE nth <= 4 GROUP BY ticker, topic").replace('\\"', '"'))
+_SUMMARY = "SELECT ticker, topic, '- ' || topic || ' (' || any_value(name) || '): ' || any_value(claims) || ' claims' || CASE WHEN any_value(synthetic) > 0 THEN ', ' || any_value(synthetic) || ' synthetic' ELSE '' END || chr(10) || string_agg('  [' || claim_id || '] ' || date || ' — ' || speaker || ', ' || doc_type || ' [' || CASE WHEN source_type = 'synthetic' THEN 'SYNTHETIC DEMO DATA' ELSE 'real filing' END || ']: \"' || quote_span || '\"', chr(10) ORDER BY nth) AS context FROM (SELECT s.*, c.name, c.claims, c.synthetic, row_number() OVER (PARTITION BY s.ticker, s.topic ORDER BY s.date, s.claim_id, s.speaker) AS nth FROM spoken s JOIN topic_counts c ON s.ticker = c.ticker AND s.topic = c.topic) WHERE nth <= 4 GROUP BY ticker, topic".replace('\\"', '"')
+
+
+@query(graph_sql(_SUMMARY))
 def summary_context(spark, sf):
     return G.summary_lines(A.graph(spark, sf))
 
 
+_TAG = "CASE WHEN {0}_source = 'synthetic' THEN 'SYNTHETIC DEMO DATA' ELSE 'real filing' END"
+_SIDE = "chr(10) || '  {1} (' || {0}_date || ', ' || {0}_speaker || ', ' || " + _TAG + " || '): \"' || {0}_quote || '\"'"
+
+
+@query(graph_sql(f"""SELECT t.ticker, 'COMPANY: ' || c_name || ' (' || t.ticker || ')' || chr(10) || chr(10) || 'TOPICS AND SAMPLE CLAIMS:' || t.topics || coalesce(a.against, '') AS context
+FROM (SELECT s.ticker, string_agg(chr(10) || chr(10) || context, '' ORDER BY claims DESC, topic) AS topics FROM summary s JOIN topic_counts USING (ticker, topic) GROUP BY s.ticker) t
+JOIN customer ON c_custkey::VARCHAR = t.ticker
+LEFT JOIN (SELECT ticker, chr(10) || chr(10) || 'CONTRADICTIONS:' || string_agg(chr(10) || '[' || a_id || ' vs ' || b_id || '] ' || topic_name || ' — severity ' || severity || ': ' || reasoning || {_SIDE.format("a", "A")} || {_SIDE.format("b", "B")}, '' ORDER BY nth) AS against
+  FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, topic, a_id, b_id, a_speaker, b_speaker) AS nth FROM contra) WHERE nth <= 15 GROUP BY ticker) a ON a.ticker = t.ticker""", f"summary AS ({_SUMMARY})"))
+def company_summaries(spark, sf):
+    return G.company_summaries(A.graph(spark, sf))
+
+
 @query(graph_sql("SELECT ticker, place, question FROM (SELECT ticker, question, row_number() OVER (PARTITION BY ticker ORDER BY part, nth) AS place FROM (SELECT ticker, 0 AS part, nth, 'What contradiction did you find about ' || lower(topic_name) || '?' AS question FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, topic, a_id, b_id) AS nth FROM contra WHERE severity IN ('medium', 'high')) WHERE nth <= 2 UNION ALL SELECT ticker, 1, row_number() OVER (PARTITION BY ticker ORDER BY claims DESC, topic), 'What has the company said about ' || lower(name) || '?' FROM topic_counts)) WHERE place <= 5"))
 def suggested_questions(spark, sf):
     return G.suggested_questions(A.graph(spark, sf))
