@@ -5,7 +5,9 @@ A :class:`CompanyTools` is bound to one ticker when it is made; no call takes an
 
 from __future__ import annotations
 
+import json
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -176,3 +178,49 @@ def answer_turn(tools: CompanyTools, question: str, guard: Callable[[str], str],
         if attempt < retries:
             yield "retry", {"cited_ids": cited}
     yield "answer", {"answer": fallback, "cited_ids": []}
+
+
+def _timed(spark: SparkSession, events: Iterator[tuple[str, object]], seconds: float) -> Iterator[tuple[str, object]]:
+    """The events, then ``done``; when ``seconds`` have passed since the first was asked for, ``error`` in place of what is left.
+
+    What is under way then is cancelled with its Spark jobs; time that the reader takes between events counts, too.
+    """
+    end = time.monotonic() + seconds
+    try:
+        while (event := within(spark, max(0.01, end - time.monotonic()), lambda: next(events, None))) is not None:
+            yield event
+    except TimeoutError:
+        yield "error", {"message": f"stopped after {seconds:g} s"}
+    except Exception as error:  # noqa: BLE001 - a reader of events gets an end in every case
+        yield "error", {"message": f"{type(error).__name__}: {error}"[:300]}
+    yield "done", {}
+
+
+def turn_events(tools: CompanyTools, question: str, guard: Callable[[str], str], synthesise: Callable[[str, list[Row]], str], seconds: float = 150.0, **options: Any) -> Iterator[tuple[str, object]]:
+    """The events of :func:`answer_turn` under a time limit: ``error`` after it, and ``done`` at the end in every case."""
+    return _timed(tools.graph.claims.sparkSession, answer_turn(tools, question, guard, synthesise, **options), seconds)
+
+
+def _summary(graph: Graph, ticker: str, synthesise: Callable[[str], Iterator[str]]) -> Iterator[tuple[str, object]]:
+    row = G.company_summaries(graph).filter(F.col("ticker") == ticker).first()
+    if row is None:
+        yield "error", {"message": "no claims of this company"}
+        return
+    said = []
+    for token in synthesise(row.context):
+        said.append(token)
+        yield "token", {"text": token}
+    _, cited = check_grounding(graph.claims.sparkSession, "".join(said), [])
+    for claim_id in cited:
+        yield "citation", {"claim_id": claim_id}
+
+
+def summary_events(graph: Graph, ticker: str, synthesise: Callable[[str], Iterator[str]], seconds: float = 150.0) -> Iterator[tuple[str, object]]:
+    """A company's summary as a stream: tokens of what ``synthesise`` makes of its context, the claims it cites, then ``done``."""
+    return _timed(graph.claims.sparkSession, _summary(graph, ticker, synthesise), seconds)
+
+
+def as_rows(turn_id: str, events: Iterator[tuple[str, object]]) -> Iterator[tuple[str, int, str, str]]:
+    """Events as rows ``(turn_id, seq, event, data)`` of the log that can be replayed; ``data`` is a token's text, else JSON."""
+    for seq, (event, data) in enumerate(events):
+        yield turn_id, seq, event, data["text"] if event == "token" else json.dumps(data)
