@@ -347,13 +347,3 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.select("fp", "root").join(heads, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group: one document of each near-duplicate group.
-
-    Of rows that repeat a doc_id one stays; rows with a null doc_id stay (nothing identifies them).
-    """
-    keep = near_duplicate_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id IS NULL"))
