@@ -22,7 +22,7 @@ def document_rows(documents: DataFrame) -> DataFrame:
 
 
 def raw_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, html)`` of cached pages, a file each."""
+    """``(path, html)`` of cached pages, a file each; Spark passes over empty files, which hold no page."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.decode("content", "UTF-8").alias("html"))
 
