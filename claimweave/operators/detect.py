@@ -65,11 +65,14 @@ def judge_pairs(pairs: DataFrame, call: Callable[[dict], str] | Client | None =
     return answered.withColumn("verdict", judgement(F.col("answer"))).select(*pairs.columns, "verdict.*")
 
 
+def confirmed_rows(judged: DataFrame, least: str = "low") -> DataFrame:
+    """Contradictions of ``least`` severity or graver, in no order."""
+    return judged.filter(F.col("contradicts") & (severity_order(F.col("severity")) >= {"low": 1, "medium": 2, "high": 3}[least]))
+
+
 def confirmed(judged: DataFrame, least: str = "low") -> DataFrame:
     """Contradictions of ``least`` severity or graver, the gravest first in each company."""
-    order = severity_order(F.col("severity"))
-    rank = {"low": 1, "medium": 2, "high": 3}[least]
-    return judged.filter(F.col("contradicts") & (order >= rank)).orderBy("ticker", F.desc(order), "a_id", "b_id")
+    return confirmed_rows(judged, least).orderBy("ticker", F.desc(severity_order(F.col("severity"))), "a_id", "b_id")
 
 
 def replace_for_companies(edges: DataFrame, new: DataFrame, g: Graph, tickers: DataFrame) -> DataFrame:
