@@ -33,22 +33,69 @@ def candidate_pairs(g: Graph) -> DataFrame:
     return pairs.drop("a_document", "b_document")
 
 
+def leading_claims(rows: DataFrame, most: int) -> DataFrame:
+    """Of ``(ticker, topic, source, document, id)``: all rows that can stand in the first ``most`` pairs of their company and topic.
+
+    Pairs are claims ``a < b`` of different documents, in the order of (a, b), as far as their two sources suit (any symmetric
+    rule). In a (source, document) the first ``2 * most`` ids are enough, since of the claims up to the last ``a`` wanted those with a
+    partner are ``most`` at most and come first. Of the rest, those of one source up to that ``a`` either have a partner
+    (``most`` ids), or stand in one document (``2 * most``), or have its id; and ``most`` follow. So ``4 * most + 1`` ids of a source are enough.
+    Spark takes both ranks in the tasks before it shuffles (below spark.sql.optimizer.windowGroupLimitThreshold, 1000).
+    """
+    in_document = F.dense_rank().over(Window.partitionBy("ticker", "topic", "source", "document").orderBy("id"))
+    in_source = F.dense_rank().over(Window.partitionBy("ticker", "topic", "source").orderBy("id"))
+    few = rows.withColumn("nth", in_document).filter(F.col("nth") <= 2 * most).drop("nth")
+    return few.withColumn("nth", in_source).filter(F.col("nth") <= 4 * most + 1).drop("nth")
+
+
+def leading_pairs(g: Graph, most: int) -> DataFrame:
+    """Pairs as those of :func:`candidate_pairs`, among them the first ``most`` of each company, topic and kind of sources.
+
+    Their number grows with ``most`` and the number of sources, not with a group's claims. They carry ids, documents,
+    speakers and sources only; :func:`with_texts` adds the rest.
+    """
+    rows = _side(g, "c").select("ticker", "topic", F.col("c_source").alias("source"), F.col("c_document").alias("document"), F.col("c_id").alias("id"), F.col("c_speaker").alias("speaker"))
+    few = leading_claims(rows, most)
+    side = lambda s: few.select("ticker", "topic", *(F.col(c).alias(f"{s}_{c}") for c in ("document", "id", "speaker", "source")))
+    return side("a").join(side("b"), ["ticker", "topic"]).filter("a_id < b_id AND a_document <> b_document").distinct()
+
+
+def with_texts(pairs: DataFrame, g: Graph) -> DataFrame:
+    """Ranked pairs ``(ticker, nth)`` of :func:`leading_pairs` with the columns of :func:`candidate_pairs`."""
+    named = pairs.drop("a_source", "b_source")
+    for s in "ab":
+        named = named.join(_side(g, s), ["ticker", "topic", f"{s}_document", f"{s}_id", f"{s}_speaker"])
+    columns = ["ticker", "topic", *(f"{s}_{c}" for s in "ab" for c in _SIDE), "nth"]
+    return named.dropDuplicates(["ticker", "nth"]).select(columns)
+
+
 def prioritise(pairs: DataFrame, max_pairs: int = 40, cross_source_only: bool = True) -> DataFrame:
     """The first ``max_pairs`` pairs of each company: cross-source ones first, then by topic."""
     cross = F.col("a_source") != F.col("b_source")
     if cross_source_only:
         pairs = pairs.filter(cross)
-    order = Window.partitionBy("ticker").orderBy(F.when(cross, 0).otherwise(1), "topic", "a_id", "b_id", "a_speaker", "b_speaker")
+    documents = [c for c in ("a_document", "b_document") if c in pairs.columns]
+    order = Window.partitionBy("ticker").orderBy(F.when(cross, 0).otherwise(1), "topic", "a_id", "b_id", "a_speaker", "b_speaker", *documents)
     return pairs.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max_pairs)
 
 
 def prioritise_auto(pairs: DataFrame, max_pairs: int = 15) -> DataFrame:
     """As :func:`prioritise`, cross-source only for companies that have a synthetic claim in a pair."""
     synthetic = pairs.groupBy("ticker").agg(F.bool_or((F.col("a_source") == "synthetic") | (F.col("b_source") == "synthetic")).alias("has_synthetic"))
-    kept = pairs.join(synthetic, "ticker").filter(~F.col("has_synthetic") | (F.col("a_source") != F.col("b_source"))).drop("has_synthetic")
+    kept = pairs.join(synthetic, "ticker").filter(~F.coalesce("has_synthetic", F.lit(False)) | (F.col("a_source") != F.col("b_source"))).drop("has_synthetic")
     return prioritise(kept, max_pairs, cross_source_only=False)
 
 
+def first_pairs(g: Graph, max_pairs: int = 40, cross_source_only: bool = True) -> DataFrame:
+    """:func:`prioritise` of all pairs, without making them all."""
+    return with_texts(prioritise(leading_pairs(g, max_pairs), max_pairs, cross_source_only), g)
+
+
+def first_pairs_auto(g: Graph, max_pairs: int = 15) -> DataFrame:
+    """:func:`prioritise_auto` of all pairs, without making them all."""
+    return with_texts(prioritise_auto(leading_pairs(g, max_pairs), max_pairs), g)
+
+
 def rule_verdict() -> Column:
     """A model's stand-in: stances that differ contradict, gravely if the values differ widely."""
     gap = F.abs(F.col("a_value") - F.col("b_value"))

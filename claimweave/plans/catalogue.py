@@ -182,12 +182,12 @@ def candidate_pairs(spark, sf):
 
 @query(graph_sql("SELECT ticker, topic, a_id, b_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY topic, a_id, b_id, a_speaker, b_speaker) AS nth FROM pairs WHERE a_source <> b_source) WHERE nth <= 40"))
 def candidate_pairs_prioritised(spark, sf):
-    return D.prioritise(D.candidate_pairs(A.graph(spark, sf))).select("ticker", "topic", "a_id", "b_id", "nth")
+    return D.prioritise(D.leading_pairs(A.graph(spark, sf), 40), 40).select("ticker", "topic", "a_id", "b_id", "nth")
 
 
 @query(graph_sql("SELECT ticker, topic, a_id, b_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY a_source = b_source, topic, a_id, b_id, a_speaker, b_speaker) AS nth FROM (SELECT *, bool_or(a_source = 'synthetic' OR b_source = 'synthetic') OVER (PARTITION BY ticker) AS has FROM pairs) WHERE NOT has OR a_source <> b_source) WHERE nth <= 15"))
 def candidate_pairs_auto(spark, sf):
-    return D.prioritise_auto(D.candidate_pairs(A.graph(spark, sf))).select("ticker", "topic", "a_id", "b_id", "nth")
+    return D.prioritise_auto(D.leading_pairs(A.graph(spark, sf), 15), 15).select("ticker", "topic", "a_id", "b_id", "nth")
 
 
 _JUDGED = "judged AS (SELECT *, a_stance <> b_stance AS contradicts, CASE WHEN a_stance = b_stance THEN 'none' WHEN abs(a_value - b_value) >= 40000 THEN 'high' WHEN abs(a_value - b_value) >= 15000 THEN 'medium' ELSE 'low' END AS verdict, a_stance || ' against ' || b_stance AS why FROM pairs)"

@@ -212,7 +212,7 @@ class GraphStore:
 
     def detect(self, scope: list[str], call: Callable[[dict], str] | None = None, max_pairs: int = 15, now: str = "") -> int:
         """Judge the companies' candidate pairs and replace their contradictions by the confirmed ones; the number of these."""
-        pairs = D.prioritise_auto(D.candidate_pairs(self.graph(scope)), max_pairs).drop("nth")
+        pairs = D.first_pairs_auto(self.graph(scope), max_pairs).drop("nth")
         found = D.confirmed_rows(D.judge_pairs(pairs, call))
         one = Window.partitionBy("a_id", "b_id").orderBy(F.desc("ticker"))  # of a pair that two companies filed, each edge counts once
         found = found.withColumn("nth", F.row_number().over(one)).filter("nth = 1")
