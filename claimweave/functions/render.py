@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from claimweave.functions.text import source_tag, strip
 
@@ -44,6 +48,72 @@ def as_text(rows: DataFrame, line: Column, by: list[str], order: list[Column], s
     return named.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), separator).alias("text"))
 
 
+#: Bytes of a part of a long text, at most.
+PART_BYTES = 1 << 20
+#: Characters of a line that count in its order, where the order given leaves ties.
+TIE_CHARS = 64
+
+
+def _part_batches(by: list[str], separator: str, most: int):
+    """Rows come sorted by (by, start, line): the lines of a group, put together while they fit."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint, group, start, lines, size, nth = len(separator.encode()), None, None, [], 0, 0
+        out, schema, waiting = [], None, 0
+
+        def put() -> None:
+            nonlocal waiting
+            if lines:
+                out.append((*group, start, nth, separator.join(lines)))
+                waiting += size
+
+        def batch_of_parts() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+        for batch in batches:
+            kept = [batch.schema.field(c) for c in (*by, "start")]
+            schema = pa.schema([*kept, pa.field("part", pa.int32()), pa.field("text", pa.string())])
+            for *key, first, line in zip(*(batch.column(c).to_pylist() for c in (*by, "start", "line"))):
+                n = len(line.encode("utf-8", "surrogatepass"))
+                if tuple(key) != group or size + joint + n > most:
+                    put()
+                    nth = nth + 1 if tuple(key) == group else 0
+                    group, start, lines, size = tuple(key), first, [line], n
+                else:
+                    lines.append(line)
+                    size += joint + n
+                if waiting >= 8 * most:
+                    yield batch_of_parts()
+                    out, waiting = [], 0
+        put()
+        if out:
+            yield batch_of_parts()
+
+    return parts
+
+
+def as_text_parts(rows: DataFrame, line: Column, by: list[str], order: list[Column], separator: str = "\n", most: int = PART_BYTES) -> DataFrame:
+    """:func:`as_text` in parts ``(by, start, part, text)`` of at most ``most`` bytes; a longer line is a part of its own.
+
+    Lines are dealt by ranges of (by, order), so a group of any size is spread over tasks, and no task holds more
+    than a few parts. A group's parts in the order of (start, part), joined by the separator, are its whole
+    text: ``start`` is the order of a part's first line, ``part`` numbers those that follow it in its task. Null lines drop out, ties go by the line.
+    """
+    keys = [o.alias(f"o{i}") for i, o in enumerate(order)]
+    named = rows.select(*by, *keys, line.alias("line")).filter("line IS NOT NULL").withColumn("tie", F.left("line", F.lit(TIE_CHARS)))
+    places = [*by, *(f"o{i}" for i in range(len(order))), "tie"]
+    dealt = named.repartitionByRange(*places).sortWithinPartitions(*places, "line")
+    marked = dealt.select(*by, F.struct(*places[len(by) :]).alias("start"), "line")
+    schema = marked.drop("line").schema.add("part", IntegerType()).add("text", StringType())
+    return marked.mapInArrow(_part_batches(by, separator, most), schema)
+
+
+def whole_texts(parts: DataFrame, by: list[str], separator: str = "\n") -> DataFrame:
+    """The texts of :func:`as_text_parts` put together again, where they are known to be short."""
+    ordered = F.array_sort(F.collect_list(F.struct("start", "part", "text")))
+    return parts.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), separator).alias("text"))
+
+
 def period_suffix(period: Column) -> Column:
     return F.when(F.coalesce(period, F.lit("")) != "", F.concat(F.lit(", reporting period: "), period)).otherwise("")
 

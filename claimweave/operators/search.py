@@ -87,15 +87,16 @@ def resolve_tickers(universe: DataFrame, asked: DataFrame, processed: DataFrame)
     return flag_processed(wanted.join(universe, "ticker"), processed).select("place", "ticker", "name", "cik", "processed").orderBy("place")
 
 
-def recent_filers(filings: DataFrame, universe: DataFrame, limit: int = 12, within: int = 200) -> DataFrame:
-    """The newest filers: of the first ``within`` filings ``(pos, cik, form, date)`` each ticker's first.
+def recent_filers(filings: DataFrame, universe: DataFrame, limit: int = 12) -> DataFrame:
+    """The newest filers: of the filings ``(pos, cik, form, date)`` each ticker's first, ``limit`` of them.
 
     A cik that several tickers share means the last of them in the universe's order.
     """
     by_cik = universe.groupBy("cik").agg(F.max_by("ticker", "pos").alias("ticker"), F.max_by("name", "pos").alias("name"))
-    rows = filings.orderBy("pos").limit(within).join(by_cik, "cik")
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("ticker").orderBy("pos"))).filter("nth = 1")
-    return first.orderBy("pos").limit(limit).select("pos", "ticker", "name", "cik", "form", "date")
+    newest = filings.groupBy("cik").agg(F.min(F.struct("pos", "form", "date")).alias("filing"))
+    first = newest.join(by_cik, "cik").groupBy("ticker").agg(F.min(F.struct("filing", "name", "cik")).alias("f"))
+    rows = first.select("f.filing.pos", "ticker", "f.name", "f.cik", "f.filing.form", "f.filing.date")
+    return rows.orderBy("pos").limit(limit)
 
 
 def latest_filings(filings: DataFrame, limits: DataFrame) -> DataFrame:

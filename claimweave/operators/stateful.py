@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.functions import render as R
 from claimweave.functions import text as T
 
 LIMIT, WINDOW_SECONDS = 20, 60.0
@@ -77,6 +78,13 @@ def replay_answers(events: DataFrame) -> DataFrame:
     return done.select("turn_id", F.array_join(F.transform("tokens", lambda x: x["data"]), "").alias("answer"), "failed", "retries")
 
 
+def answer_parts(events: DataFrame, most: int = R.PART_BYTES) -> DataFrame:
+    """The answers of :func:`replay_answers` in parts ``(turn_id, start, part, text)`` of bounded size, for turns of any length; joined by nothing."""
+    retried = events.filter("event = 'retry'").groupBy("turn_id").agg(F.max("seq").alias("retry_at"))
+    tokens = events.filter("event = 'token'").join(retried, "turn_id", "left").filter("retry_at IS NULL OR seq > retry_at")
+    return R.as_text_parts(tokens, F.col("data"), ["turn_id"], [F.col("seq")], "", most)
+
+
 def parse_sse(bodies: DataFrame) -> DataFrame:
     """Events of raw event streams ``(stream_id, body)``: frames between blank lines; those without data drop out."""
     frames = bodies.select("stream_id", F.posexplode(F.split("body", r"\r?\n\r?\n")).alias("seq", "frame"))

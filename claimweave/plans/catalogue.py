@@ -20,6 +20,7 @@ from claimweave.operators import stateful as ST
 from claimweave.operators import upsert as U
 from claimweave.plans import adapters as A
 from claimweave.plans.sql import graph_sql, text_sql
+from claimweave.sources import table_functions
 from claimweave.sources.html import page_blocks
 from claimweave.streaming import windows as W
 
@@ -212,19 +213,35 @@ def contradiction_scoped_replace(spark, sf):
     return D.replace_for_companies(g.contradictions, new, g, tickers)
 
 
-@query("SELECT event_id, event_id % 8 IN (0, 1, 2, 6) AS contradicts, ['high', 'medium', 'medium', 'none', 'none', 'none', 'medium', 'none'][event_id % 8 + 1] AS severity, ['', 'e', 'r', '', '', '', 'x', ''][event_id % 8 + 1] AS reasoning FROM events")
-def judgement_normalised(spark, sf):
-    k = F.col("event_id") % 8
-    answers = ['{"contradicts": true, "severity": " HIGH "}', '```json\n{"is_contradiction": true, "explanation": "e"}\n```', 'Sure: {"contradiction": "yes", "severity": "grave", "reasoning": "r"} done', '{"contradicts": false, "severity": "high"}', "no json", '{"severity": "low"}', '{"contradicts": true, "severity": "none", "reasoning": "", "explanation": "x"}', '{"contradicts": "false"}']
-    answer = F.element_at(F.array(*(F.lit(a) for a in answers)), (k + 1).cast("int"))
-    return A.table(spark, sf, "events").select("event_id", J.judgement(answer).alias("j")).select("event_id", "j.*")
+_SAID = "SELECT *, ['low', ' HIGH ', 'Medium', 'grave', 'none'][1 + floor(value)::BIGINT % 5] AS said, event_type || ' of \"' || user_id || '\"' AS why, event_type <> 'error' AND props IS NOT NULL AS whole, value > 40 AS yes FROM events"
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 't' WHEN 1 THEN 'u' ELSE '' END AS topic, CASE event_id % 4 WHEN 0 THEN 'q' WHEN 1 THEN 's' ELSE '' END AS quote_span, CASE event_id % 4 WHEN 0 THEN value ELSE NULL END AS value_numeric FROM events WHERE event_id % 4 IN (0, 1, 2)")
+@query(f"SELECT event_id, whole AND yes AS contradicts, CASE WHEN NOT (whole AND yes) THEN 'none' WHEN lower(trim(said)) IN ('low', 'medium', 'high') THEN lower(trim(said)) ELSE 'medium' END AS severity, CASE WHEN whole THEN why ELSE '' END AS reasoning FROM ({_SAID})")
+def judgement_normalised(spark, sf):
+    # the key of the verdict goes by the type of event, that of the reason by the user; answers of errors are cut off
+    said = F.element_at(F.array(*(F.lit(w) for w in ["low", " HIGH ", "Medium", "grave", "none"])), (F.floor("value") % 5 + 1).cast("int"))
+    why = F.concat("event_type", F.lit(' of "'), F.col("user_id").cast("string"), F.lit('"'))
+    yes = F.col("value") > 40
+    of_type = lambda t, name, truth: F.when(F.col("event_type") == t, truth).alias(name)
+    plain = F.when(~F.col("event_type").isin("purchase", "signup"), yes).alias("contradicts")
+    fields = [plain, of_type("purchase", "is_contradiction", yes), of_type("signup", "contradiction", F.when(yes, "yes").otherwise("No")), said.alias("severity")]
+    reason = [F.when(F.col("user_id") % 2 == 0, why).alias("reasoning"), F.when(F.col("user_id") % 2 == 1, why).alias("explanation")]
+    json = F.to_json(F.struct(*fields, *reason))
+    answer = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(F.col("user_id") % 3 == 1, F.concat(F.lit("Sure: "), json, F.lit(" done"))).otherwise(json)
+    cut = F.when((F.col("event_type") == "error") | F.col("props").isNull(), F.regexp_replace(json, r"\}$", "")).otherwise(answer)
+    return A.table(spark, sf, "events").select("event_id", J.judgement(cut).alias("j")).select("event_id", "j.*")
+
+
+@query("SELECT event_id, event_type AS topic, 'user ' || user_id || ' said \"' || value || '\"' AS quote_span, CASE WHEN user_id % 2 = 0 THEN value END AS value_numeric FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id, 'k', '{' || event_id || '}', NULL FROM events WHERE event_type NOT IN ('error', 'signup')")
 def raw_claims_parsed(spark, sf):
-    k = F.col("event_id") % 4
-    one = F.concat(F.lit('```json\n{"claims": [{"topic": "t", "quote": "q", "value_numeric": '), F.col("value").cast("string"), F.lit("}]}\n```"))
-    answer = F.when(k == 0, one).when(k == 1, F.lit('[{"topic_id": "u", "span": "s", "value_numeric": "12"}]')).when(k == 2, F.lit('{"claims": [{}]} trailing')).otherwise(F.lit("nothing"))
+    # two claims an answer, under keys that go by the type of event: a list from signups, nothing usable from errors
+    text = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(' said "'), F.col("value").cast("string"), F.lit('"'))
+    number = [F.when(F.col("user_id") % 2 == 0, F.col("value")).alias("value_numeric")]
+    in_words = F.struct(F.col("event_type").alias("topic_id"), text.alias("span"), *number)
+    first = F.to_json(F.struct(F.col("event_type").alias("topic"), text.alias("quote"), *number))
+    second = F.to_json(F.struct(F.lit("k").alias("topic_name"), F.concat(F.lit("{"), F.col("event_id").cast("string"), F.lit("}")).alias("source_quote"), F.col("value").cast("string").alias("value_numeric")))
+    both = F.concat(F.lit('```json\n{"claims": ['), first, F.lit(", "), second, F.lit("]}\n```"))
+    answer = F.when(F.col("event_type") == "error", F.concat(F.lit("cannot say: "), text)).when(F.col("event_type") == "signup", F.concat(F.lit("["), F.to_json(in_words), F.lit("]"))).otherwise(both)
     rows = A.table(spark, sf, "events").select("event_id", F.explode(J.raw_claims(answer)).alias("c"))
     return rows.select("event_id", J.claim_fields(F.col("c")).alias("f")).select("event_id", "f.topic", "f.quote_span", "f.value_numeric")
 
@@ -373,6 +390,13 @@ def html_chunks(spark, sf):
     return C.segment(page_blocks(pages))
 
 
+@query()
+def page_blocks_in_sql(spark, sf):
+    table_functions.register(spark)
+    pages = A.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("document_id"), "html")
+    return spark.sql("SELECT document_id, pos, kind, tag, text FROM page_blocks(TABLE({pages}))", pages=pages)
+
+
 @query()
 def extracted_claims(spark, sf):
     """Claims that the rule extractor finds: the first sentence, a broken quote on the first attempt."""
@@ -439,7 +463,7 @@ def resolved_tickers(spark, sf):
     return S.resolve_tickers(_universe(spark, sf), asked, _processed(spark, sf))
 
 
-@query("WITH u AS (SELECT s_nationkey AS cik, max_by('T' || s_suppkey, s_suppkey) AS ticker, max_by(s_name, s_suppkey) AS name FROM supplier GROUP BY 1), f AS (SELECT o_orderkey AS pos, o_custkey % 30 AS cik, o_orderstatus AS form, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders ORDER BY o_orderkey LIMIT 200) SELECT pos, ticker, name, cik, form, date FROM (SELECT f.*, u.ticker, u.name, row_number() OVER (PARTITION BY ticker ORDER BY pos) AS nth FROM f JOIN u USING (cik)) WHERE nth = 1 ORDER BY pos LIMIT 12")
+@query("WITH u AS (SELECT s_nationkey AS cik, max_by('T' || s_suppkey, s_suppkey) AS ticker, max_by(s_name, s_suppkey) AS name FROM supplier GROUP BY 1), f AS (SELECT o_orderkey AS pos, o_custkey % 30 AS cik, o_orderstatus AS form, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders) SELECT pos, ticker, name, cik, form, date FROM (SELECT f.*, u.ticker, u.name, row_number() OVER (PARTITION BY ticker ORDER BY pos) AS nth FROM f JOIN u USING (cik)) WHERE nth = 1 ORDER BY pos LIMIT 12")
 def recent_filers(spark, sf):
     universe = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("pos"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("cik"))
     filings = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 30).alias("cik"), F.col("o_orderstatus").alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
@@ -510,11 +534,15 @@ def input_guard(spark, sf):
     return ST.guard_input(m, 300).select("conv_id", "turn", "reason", "allowed")
 
 
-@query("SELECT event_id, category, category = 'ok' AS allowed FROM (SELECT event_id, ['other_company', 'off_topic', 'ok', 'ok', 'investment_advice'][event_id % 5 + 1] AS category FROM events)")
+_GUARDED = "SELECT conv_id, turn, lower(coalesce(text, '') || ' ' || ['Other_Company', 'OFF_TOPIC or injection', 'investment_advice', 'none of these'][1 + length(coalesce(text, '')) % 4]) AS said FROM conversations"
+
+
+@query(f"SELECT conv_id, turn, category, category = 'ok' AS allowed FROM (SELECT conv_id, turn, CASE WHEN said LIKE '%other\\_company%' ESCAPE '\\' THEN 'other_company' WHEN said LIKE '%investment\\_advice%' ESCAPE '\\' THEN 'investment_advice' WHEN said LIKE '%off\\_topic%' ESCAPE '\\' THEN 'off_topic' WHEN said LIKE '%injection%' THEN 'injection' ELSE 'ok' END AS category FROM ({_GUARDED}))")
 def input_category(spark, sf):
-    answers = F.array(*(F.lit(a) for a in ["injection or OTHER_COMPANY", "Off_Topic.", "fine, ok", "unclear", "investment_advice ok"]))
-    e = A.table(spark, sf, "events").select("event_id", F.element_at(answers, (F.col("event_id") % 5 + 1).cast("int")).alias("answer"))
-    return ST.category_of(e).select("event_id", "category", "allowed")
+    text = F.coalesce("text", F.lit(""))
+    named = F.element_at(F.array(*(F.lit(a) for a in ["Other_Company", "OFF_TOPIC or injection", "investment_advice", "none of these"])), (F.length(text) % 4 + 1).cast("int"))
+    said = A.table(spark, sf, "conversations").select("conv_id", "turn", F.concat(text, F.lit(" "), named).alias("answer"))
+    return ST.category_of(said).select("conv_id", "turn", "category", "allowed")
 
 
 @query("SELECT user_id AS job_id, event_id AS seq, event_type AS status, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events) WHERE nth = 1")
@@ -539,6 +567,14 @@ def replayed_answers(spark, sf):
     return ST.replay_answers(e)
 
 
+@query("SELECT turn_id, string_agg(d, '' ORDER BY event_id) AS answer FROM (SELECT *, coalesce(max(CASE WHEN kind = 'retry' THEN event_id END) OVER (PARTITION BY turn_id), -1) AS retry_at FROM (SELECT user_id AS turn_id, event_id, event_type || ' ' || value || ' ' AS d, CASE WHEN event_id % 17 = 0 THEN 'retry' WHEN event_id % 53 = 0 THEN 'error' ELSE 'token' END AS kind FROM events)) WHERE kind = 'token' AND event_id > retry_at GROUP BY turn_id")
+def replayed_answer_parts(spark, sf):
+    kind = F.when(F.col("event_id") % 17 == 0, "retry").when(F.col("event_id") % 53 == 0, "error").otherwise("token")
+    data = F.concat("event_type", F.lit(" "), F.col("value").cast("string"), F.lit(" "))
+    e = A.table(spark, sf, "events").select(F.col("user_id").alias("turn_id"), F.col("event_id").alias("seq"), kind.alias("event"), data.alias("data"))
+    return R.whole_texts(ST.answer_parts(e, 64), ["turn_id"], "").withColumnRenamed("text", "answer")
+
+
 @query("SELECT event_id AS stream_id, 0 AS seq, 'token' AS event, '{\"k\":' || chr(10) || '1}' AS data FROM events UNION ALL SELECT event_id, 2, 'message', event_id::VARCHAR FROM events")
 def parsed_sse(spark, sf):
     body = F.concat(F.lit('event: token\ndata: {"k":\ndata: 1}\n\nevent: bad\ndata: {oops\n\ndata:'), F.col("event_id").cast("string"), F.lit("\n\n: comment\n\n"))
@@ -601,6 +637,14 @@ def timeline_texts(spark, sf):
     return R.as_text(G.claim_timeline(A.graph(spark, sf)), R.timeline_line(), ["ticker", "topic"], [F.col("date"), F.col("claim_id"), F.col("speaker")])
 
 
+@query(graph_sql("SELECT ticker, sum(length('[' || claim_id || '] ' || date || ' \u2014 ' || speaker || ' (' || role || '), ' || doc_type || ' [' || " + _TAG.format("source_type") + " || ']: \"' || quote_span || '\" (stance: ' || stance || ')') + 1)::BIGINT - 1 AS chars, true AS bounded FROM spoken GROUP BY ticker"))
+def timeline_parts(spark, sf):
+    most = 4096
+    parts = R.as_text_parts(G.claim_timeline(A.graph(spark, sf)), R.timeline_line(), ["ticker"], [F.col("date"), F.col("claim_id"), F.col("speaker")], most=most)
+    bounded = F.max(F.octet_length("text")) <= most
+    return parts.groupBy("ticker").agg((F.sum(F.length("text") + 1) - 1).alias("chars"), bounded.alias("bounded"))
+
+
 def _side_sql(s):
     return f"'  {s.upper()} [' || {s}_id || '] (' || {s}_date || ', ' || {s}_speaker || ', ' || " + _TAG.format(f"{s}_source") + f" || '): \"' || {s}_quote || '\"'"
 
@@ -632,12 +676,11 @@ def citation_labels(spark, sf):
     return d.select("conv_id", "turn", F.array_join(F.transform("labels", lambda x: F.concat(x["id"], F.lit("="), x["label"].cast("string"))), ",").alias("labels"))
 
 
-@query("SELECT event_id, event_id % 3 <> 1 AS passes, 'Why ' || event_id || '?|What?' AS questions FROM events")
+@query("SELECT doc_id, NOT contains(lower(text), 'unsafe') AND NOT contains(lower(text), 'ein') AS passes, array_to_string(list_filter(list_transform(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: regexp_replace(x, '^[ \\-*\\t\"'']+|[ \\-*\\t\"'']+$', '', 'g')), lambda x: length(x) BETWEEN 3 AND 120)[1:3], '|') AS questions FROM documents WHERE text IS NOT NULL")
 def guarded_followups(spark, sf):
-    e = A.table(spark, sf, "events").select("event_id")
-    said = F.element_at(F.array(F.lit("safe"), F.lit(" UNSAFE: advice"), F.lit("")), (F.col("event_id") % 3 + 1).cast("int"))
-    answer = F.concat(F.lit(' - "Why '), F.col("event_id").cast("string"), F.lit("?\"\n\n* a\n"), F.lit("x" * 121), F.lit("\n'What?'\nlast one"))
-    return e.select("event_id", R.passes_safety(said).alias("passes"), F.array_join(R.question_lines(answer, 2), "|").alias("questions"))
+    docs = A.table(spark, sf, "documents").filter("text IS NOT NULL")
+    said = F.regexp_replace(F.col("text"), "(?i)ein", "UnSafe")  # a draft that has the word is called unsafe
+    return docs.select("doc_id", R.passes_safety(said).alias("passes"), F.array_join(R.question_lines(F.col("text"), 3), "|").alias("questions"))
 
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY role) AS speakers FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY conv_id")

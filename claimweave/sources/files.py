@@ -47,21 +47,23 @@ def recent_cache(spark: SparkSession, path: str) -> DataFrame:
 TRANSCRIPT = "document_id string, doc_type string, date string, quarter string, ticker string, company_name string, title string, turn int, speaker string, role string, text string, planted string"
 
 
+def turns_of(body: str | None) -> list[list]:
+    """Rows of TRANSCRIPT of one transcript in YAML."""
+    import yaml
+
+    doc = yaml.safe_load(body or "") or {}
+    company = doc.get("company") or {}
+    head = [str(doc[k]) if doc.get(k) is not None else None for k in ("document_id", "doc_type", "date", "quarter")]
+    return [[*head, company.get("ticker"), company.get("name"), doc.get("title"), i, t.get("speaker"), t.get("role"), t.get("text"), t.get("planted")] for i, t in enumerate(doc.get("turns") or ())]
+
+
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Turns of transcript YAML files, a document each."""
 
     def turns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import yaml
-
         names = [c.split()[0] for c in TRANSCRIPT.split(", ")]
         for frame in frames:
-            out = []
-            for body in frame["value"]:
-                doc = yaml.safe_load(body) or {}
-                company = doc.get("company") or {}
-                head = [str(doc[k]) if doc.get(k) is not None else None for k in ("document_id", "doc_type", "date", "quarter")]
-                out += [[*head, company.get("ticker"), company.get("name"), doc.get("title"), i, t.get("speaker"), t.get("role"), t.get("text"), t.get("planted")] for i, t in enumerate(doc.get("turns") or ())]
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame([t for body in frame["value"] for t in turns_of(body)], columns=names)
 
     return spark.read.text(path, wholetext=True).mapInPandas(turns, TRANSCRIPT)
 
