@@ -1,7 +1,7 @@
 """Quality rules: base counts of a text, and bands of its perplexity under a Kneser-Ney model.
 
-The model reads a text as words. A word whose share of all words is VOCABULARY_SHARE or more is an event
-of its own; all others are one event, the rare word, and are spelled out besides. Word events are predicted
+The model reads a text as words. A word whose share of all words, or of its language's in due proportion, is
+VOCABULARY_SHARE or more is an event of its own; all others are one event, the rare word, and are spelled out besides. Word events are predicted
 from the word before (a bigram model), characters of rare words from the ORDER - 1 before them inside the
 word (UTF-16 units; marks before and after the word are white space, which no word holds). Both models are
 interpolated, with the three modified Kneser-Ney discounts of each language and order, and keep every
@@ -36,7 +36,8 @@ from .common import slices, text_or_empty, work_table
 
 #: Characters of an n-gram inside a word.
 ORDER = 4
-#: Share of all words from which on a word is an event of its own: 1 / VOCABULARY_SHARE words at most.
+#: Share of all words from which on a word is an event of its own; with L languages, L times this share of its language's
+#: words does as well. Each of the two rules holds for 1 / VOCABULARY_SHARE words at most.
 VOCABULARY_SHARE = 1e-4
 #: Entries of the model that are broadcast at most, and about so many in a part of the rest.
 HOT_ENTRIES, PART_ENTRIES = 1 << 20, 1 << 21
@@ -360,8 +361,10 @@ def model_table(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     sums = lambda found: found.groupBy("kind", "lang", "gram").agg(F.sum("n").alias("n"))
     counts = work_table(sums(texts.mapInArrow(_count_batches, _COUNTED)), "counts")
     words = counts.filter(F.col("kind") == _WORDS)
-    total = words.agg(F.sum("n")).first()[0] or 0
-    frequent = words.filter(F.col("n") >= F.lit(total * VOCABULARY_SHARE)).select("lang", "gram").collect()  # 1 / VOCABULARY_SHARE rows at most
+    of_lang = work_table(words.groupBy("lang").agg(F.sum("n").alias("of_lang")), "languages")
+    total, langs = of_lang.agg(F.coalesce(F.sum("of_lang"), F.lit(0)), F.count(F.lit(1))).first()
+    enough = F.least(F.lit(total * VOCABULARY_SHARE), F.col("of_lang") * F.lit(langs * VOCABULARY_SHARE))
+    frequent = words.join(of_lang, "lang").filter(F.col("n") >= enough).select("lang", "gram").collect()  # 2 / VOCABULARY_SHARE rows at most
     vocabulary = Vocabulary([(r.lang, r.gram) for r in frequent])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     pairs = work_table(sums(texts.mapInArrow(_pair_batches(shared), _COUNTED)), "pairs")

@@ -101,7 +101,11 @@ def test_rules_and_scores_match_brute_force(spark, corpus, monkeypatch):
     for _, t, lang in corpus:
         by_lang[lang or ""].append(t or "")
         words.update((lang or "", w) for w in WORD.findall(t or ""))
-    frequent = {x for x, n in words.items() if n >= P.VOCABULARY_SHARE * words.total()}
+    of_lang = Counter()
+    for (g, _), n in words.items():
+        of_lang[g] += n
+    share = P.VOCABULARY_SHARE
+    frequent = {(g, w) for (g, w), n in words.items() if n >= min(words.total() * share, of_lang[g] * (len(of_lang) * share))}
     checked = 0
     for lang, texts in by_lang.items():
         score = scorer(texts, {w for g, w in frequent if g == lang})
@@ -142,6 +146,14 @@ def test_words_in_another_order_are_less_likely(spark, monkeypatch):
     assert all(got[i].kept for i in range(150)) and not any(got[1000 + i].kept for i in range(10))
 
 
+def test_a_small_language_has_its_own_word_events(spark):
+    rng = random.Random(5)
+    large = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(5000)), "large") for i in range(100)]
+    small = [(1000, "alpha beta gamma alpha beta delta alpha beta gamma epsilon " * 5, "small")]  # 1e-4 of all words
+    _, vocabulary = P.model_table(spark.createDataFrame(large + small, "doc_id long, text string, lang string"))
+    assert len(vocabulary.by["small"][0]) == 5 and len(vocabulary.by["large"][0]) == 300
+
+
 def test_any_character_may_stand_in_a_word(spark, monkeypatch):
     odd = ["hello a\ufffeb world", "\ufffe", "\uffff \uffff\ufffe", "a\x00b \x00", "\U0010ffff\u2028 x\x85y \xa0"]
     rows = [(i, t, "en") for i, t in enumerate(odd)] + [(9, "plain words of a text " * 3, "en")]
