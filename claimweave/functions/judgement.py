@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimweave.functions.vectors import let
 from claimweave.schemas import JUDGMENT
 
 # Fixed values, from weakest to strongest.
@@ -33,10 +34,11 @@ def severity_order(severity: Column) -> Column:
 
 def json_part(answer: Column) -> Column:
     """The JSON in an answer: without code fences, or else from the first brace to the last."""
+    whole = lambda text: F.try_parse_json(text).isNotNull()
+    bare = lambda t: F.when(t.startswith("```"), F.regexp_replace(F.regexp_replace(t, r"^`+[^\n`]*\n?|`+$", ""), r"(?U)^\s+|\s+$", "")).otherwise(t)
+    braces = lambda b: let(F.regexp_extract(b, r"(?s)\{.*\}", 0), lambda x: F.when(whole(x), x))
     trimmed = F.regexp_replace(answer, r"(?U)^\s+|\s+$", "")
-    bare = F.when(trimmed.startswith("```"), F.regexp_replace(F.regexp_replace(trimmed, r"^`+[^\n`]*\n?|`+$", ""), r"(?U)^\s+|\s+$", "")).otherwise(trimmed)
-    braces = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(bare).isNotNull(), bare).when(F.try_parse_json(braces).isNotNull(), braces)
+    return let(let(trimmed, bare), lambda b: F.when(whole(b), b).otherwise(braces(b)))
 
 
 def _truth(x: Column) -> Column:
@@ -46,7 +48,10 @@ def _truth(x: Column) -> Column:
 
 def judgement(answer: Column) -> Column:
     """``(contradicts, severity, reasoning)`` of an answer; no JSON means no contradiction."""
-    raw = F.from_json(json_part(answer), JUDGMENT)
+    return let(F.from_json(json_part(answer), JUDGMENT), _read)  # parsed once, not for each use of a field
+
+
+def _read(raw: Column) -> Column:
     yes = F.coalesce(_truth(raw["contradicts"]), F.coalesce(_truth(raw["is_contradiction"]), F.lit(False)) | F.coalesce(_truth(raw["contradiction"]), F.lit(False)))
     said = F.lower(F.trim(F.coalesce(raw["severity"], F.lit("none"))))
     severity = F.when(~yes, "none").when(said.isin(SEVERITIES[1:]), said).otherwise("medium")
