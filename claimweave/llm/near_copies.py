@@ -5,7 +5,8 @@ decoded segment by segment to nearby codewords of the Golay code, whose indices
 meet. Equal sets are one class from the start. Members of a key's bucket whose short fingerprint is near no
 other's there go no further: in a large corpus most meet by chance. The others are compared with the bucket's
 first member, then with the next 15, the next 240 and so on, as far as they are not connected yet; a bucket
-of near copies therefore costs one comparison a member, and no pair of any bucket is left out. A pair goes
+of near copies costs one comparison a member, and no pair of any bucket is left out. Two texts that share several
+buckets are compared in one of them only, that in which the first has the lowest place. A pair goes
 on to the texts unless sizes or sketched votes already rule out SIMILARITY.
 """
 
@@ -100,20 +101,25 @@ def _near_some(key: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _meeting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a bucket's members at a batch's end wait for the next batch."""
+    """Rows come sorted by (key, node); a bucket's members at a batch's end wait for the next batch. ``nth``: a member's place among those that go on."""
     names = ["key", "node", *(f"s{k}" for k in range(SHORT_WORDS))]
-    held, crowd = np.zeros((0, len(names)), dtype=np.int64), None
+    held, crowd, gone = np.zeros((0, len(names)), dtype=np.int64), None, 0
+
+    def batch_of(rows: np.ndarray, members: np.ndarray, nth: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(members), pa.array(nth)], names=["key", "node", "members", "nth"])
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
         near, members = _near_some(rows[:, 0], rows[:, 2:].view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(rows[near, 0]), pa.array(rows[near, 1]), pa.array(members[near])], names=["key", "node", "members"])
+        rows, members, at = rows[near], members[near], np.arange(int(near.sum()))
+        first = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])[: len(rows)]
+        return batch_of(rows, members, at - np.maximum.accumulate(np.where(first, at, 0)))
 
     for batch in batches:
         rows = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
         if crowd is not None:  # the rest of a bucket that has gone on already
             n = int(np.argmin(rows[:, 0] == crowd)) if (rows[:, 0] != crowd).any() else len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:n, 0]), pa.array(rows[:n, 1]), pa.array(np.zeros(n, dtype=np.int64))], names=["key", "node", "members"])
-            rows = rows[n:]
+            yield batch_of(rows[:n], np.zeros(n, dtype=np.int64), np.arange(gone, gone + n))
+            rows, gone = rows[n:], gone + n
             if not len(rows):
                 continue
             crowd = None
@@ -122,7 +128,7 @@ def _meeting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             continue
         last = int(np.argmax(rows[:, 0] == rows[-1, 0]))
         if len(rows) - last > CROWD:
-            last, crowd = len(rows), rows[-1, 0]
+            gone, last, crowd = len(rows) - last, len(rows), rows[-1, 0]
         if last:
             yield out(rows[:last])
         held = rows[last:]
@@ -131,12 +137,17 @@ def _meeting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _pair_batches(lo: int, hi: int):
-    """Rows come sorted by (key, node): members ``lo`` to ``hi`` of a bucket against all behind them."""
+    """Rows come sorted by (key, node): members ``lo`` to ``hi`` of a bucket against all behind them.
+
+    ``places`` are all keys of a member, by its place in their buckets, then by key. Two members meet in each bucket they share,
+    but are compared only in the first by the earlier one's places: none of its keys before that is the other's.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, nth = None, 0
         # nodes, components and sizes of the members lo to hi, and their sketched votes
         held, votes = np.zeros((3, 16), dtype=np.int64), None
+        before: list[frozenset[int]] = []  # the keys of each held member before this one
         for batch in batches:
             a, b, rows = [], [], 0
             if not batch.num_rows:
@@ -144,14 +155,17 @@ def _pair_batches(lo: int, hi: int):
             units = sketch_units(np.stack([np.frombuffer(x, dtype=np.uint8) for x in batch.column("sketch").to_pylist()]))
             if votes is None:
                 votes = np.zeros((16, units.shape[1]), dtype=np.float32)
+            places = batch.column("places").to_pylist()
             for i, (key, *member) in enumerate(zip(*(batch.column(c).to_numpy().tolist() for c in ("key", "node", "root", "n")))):
                 if key != held_key:
-                    held_key, nth = key, 0
+                    held_key, nth, before = key, 0, []
                 node, root, n = member
                 at = min(nth, hi) - lo
                 if at > 0:
                     fits = np.nonzero((held[1, :at] != root) & (np.minimum(held[2, :at], n) >= SIMILARITY * np.maximum(held[2, :at], n) - 1e-6))[0]
-                    own = held[0, fits[votes[fits] @ units[i] >= COSINE]]
+                    fits = fits[votes[fits] @ units[i] >= COSINE]
+                    others = set(places[i]) if len(fits) else ()
+                    own = held[0, [at for at in fits.tolist() if before[at].isdisjoint(others)]]
                     if len(own):
                         a.append(own)
                         b.append(np.full(len(own), node, dtype=np.int64))
@@ -160,6 +174,7 @@ def _pair_batches(lo: int, hi: int):
                     if nth - lo == held.shape[1]:
                         held, votes = np.concatenate([held, np.zeros_like(held)], axis=1), np.concatenate([votes, np.zeros_like(votes)])
                     held[:, nth - lo], votes[nth - lo] = member, units[i]
+                    before.append(frozenset(places[i][: places[i].index(key)]))
                 nth += 1
                 if rows >= 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -196,10 +211,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def meetings(classes: DataFrame) -> DataFrame:
-    """``(key, node, members)``: members of buckets that may have a partner there; 0 members are more than CROWD."""
+    """``(key, node, members, nth)``: members of buckets that may have a partner there, and their places; 0 members are more than CROWD."""
     words = [F.col("short")[k].alias(f"s{k}") for k in range(SHORT_WORDS)]
     keyed = classes.select(F.explode("keys").alias("key"), "node", *words)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting_batches, "key long, node long, members long")
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meeting_batches, "key long, node long, members long, nth long")
 
 
 def near_copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
@@ -213,7 +228,7 @@ def near_copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     if biggest is None:
         return None
     # a class moves once with all its buckets, of which it has no more than keys
-    own = met.groupBy("node").agg(F.collect_list(F.struct("key", "members")).alias("buckets"))
+    own = met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("nth", "key", "members"))).alias("buckets"))
     few = maybe_among(classes.select("node", "n", "sketch"), "node", met.select("node"))
     nodes = work_table(own.join(few, "node"), "nodes")
     ids = nodes.select(F.col("node").alias("doc_id"))
@@ -226,7 +241,8 @@ def near_copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
             rooted = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = lo + 1
         opened = F.transform(F.filter("buckets", lambda x: (x.members > least) | (x.members == 0)), lambda x: x.key)
-        ordered = rooted.select("node", "root", "n", "sketch", F.explode(opened).alias("key")).repartition("key").sortWithinPartitions("key", "node")
+        places = F.transform("buckets", lambda x: x.key.cast("int"))  # keys are below 2^28
+        ordered = rooted.select("node", "root", "n", "sketch", places.alias("places"), F.explode(opened).alias("key")).repartition("key").sortWithinPartitions("key", "node")
         pairs = work_table(ordered.mapInArrow(_pair_batches(lo, hi), "a long, b long").distinct(), "pairs")
         found = work_table(verified(pairs, texts), "links")
         links = found if links is None else links.unionByName(found)

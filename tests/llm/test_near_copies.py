@@ -141,3 +141,37 @@ def test_filter_of_ids_keeps_all_of_them_and_few_others(spark):
     assert wanted <= kept and len(kept) < len(wanted) + 20
     assert common.maybe_among(rows, "doc_id", some.limit(0)).count() == 0
     assert common.maybe_among(rows.limit(0), "doc_id", some).count() == 0
+
+
+def test_two_members_are_compared_in_one_of_their_buckets_only():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    node_keys = {node: sorted(rng.choice(12, rng.integers(1, 7), replace=False).tolist()) for node in range(60)}
+    rows = sorted((key, node, 1, 2) for node, keys in node_keys.items() for key in keys)  # all are near each other
+    names = ["key", "node", "s0", "s1"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 7])], names=names) for i in range(0, len(rows), 7)]
+    met = [x for p in near_copies._meeting_batches(iter(batches)) for x in zip(*(p.column(c).to_pylist() for c in ("key", "node", "nth")))]
+    places = {node: [key for key, _ in sorted(((k, at) for k, m, at in met if m == node), key=lambda x: (x[1], x[0]))] for node in node_keys}
+    assert all(sorted(n for n in node_keys if k in node_keys[n])[at] == node for k, node, at in met)
+    sketch = bytes([0x1F] * 224)
+    met = sorted((key, node) for key, node, _ in met)
+    columns = [pa.array(list(c), pa.int64()) for c in zip(*met)]
+    alike = [pa.array([sketch] * len(met), pa.binary()), pa.array([10] * len(met), pa.int64()), pa.array([places[node] for _, node in met], pa.list_(pa.int32()))]
+    whole = pa.RecordBatch.from_arrays([*columns, columns[1], *alike], names=["key", "node", "root", "sketch", "n", "places"])
+    pairs = []
+    for lo, hi in [(0, 1), (1, 4), (4, 16), (16, 64)]:
+        for p in near_copies._pair_batches(lo, hi)(whole.slice(i, 11) for i in range(0, len(met), 11)):
+            pairs += zip(p.column("a").to_pylist(), p.column("b").to_pylist())
+    wanted = {(a, b) for a in node_keys for b in node_keys if a < b and set(node_keys[a]) & set(node_keys[b])}
+    assert len(pairs) == len(wanted) and set(pairs) == wanted
+
+
+def test_places_go_on_in_a_crowd():
+    import pyarrow as pa
+
+    rows = [(key, node, 0, 0) for key, many in enumerate([3, near_copies.CROWD + 40, 2, 300]) for node in range(many)]
+    for size in (1, 30, 1000):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], names=["key", "node", "s0", "s1"]) for i in range(0, len(rows), size)]
+        found = [x for p in near_copies._meeting_batches(iter(parts)) for x in zip(*(p.column(c).to_pylist() for c in ("node", "nth")))]
+        assert len(found) == len(rows) and all(node == nth for node, nth in found)
